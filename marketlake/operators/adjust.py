@@ -102,7 +102,8 @@ def back_adjust_as_known(
         .orderBy(day, "_is_price")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    active = F.exp(F.sum(F.coalesce("_log", F.lit(0.0))).over(forward))
+    # rounding takes away what floating point leaves behind when a factor is switched off
+    active = F.exp(F.round(F.sum(F.coalesce("_log", F.lit(0.0))).over(forward), 13))
     return (
         stacked.withColumn("_active", active)
         .filter("_is_price = 1")

@@ -40,7 +40,7 @@ def _bin_counter(bins: int):
         counts = np.diff(np.hstack([start, below, end]), axis=1)
         return pd.DataFrame(
             {
-                "feature_name": np.repeat(edges["feature_name"].to_numpy(), bins),
+                "feature_name": np.repeat(edges["feature"].to_numpy(), bins),
                 "by": np.repeat(edges["by"].to_numpy(), bins),
                 "bin": np.tile(np.arange(bins), len(lo)),
                 "e": counts.ravel(),
@@ -85,16 +85,16 @@ def psi(
     by_type = dict(current.dtypes)[by]
     cut = F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int")
     expected = (
-        baseline.select("feature_name", "value", cut.alias("slice"))
-        .groupBy("feature_name", "slice")
+        baseline.select(F.col("feature_name").alias("base_feature"), "value", cut.alias("slice"))
+        .groupBy("base_feature", "slice")
         .cogroup(
             edges.select(
-                "feature_name",
+                F.col("feature_name").alias("feature"),
                 "by",
                 "lo",
                 "hi",
-                F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-            ).groupBy("feature_name", "slice")
+                F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("cut"),
+            ).groupBy("feature", "cut")
         )
         .applyInPandas(
             _bin_counter(bins), f"feature_name string, by {by_type}, bin int, e bigint"

@@ -47,6 +47,13 @@ def dedup_latest(
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def dedup_first(df: DataFrame, keys: list[str], earliest: list[str]) -> DataFrame:
+    """One row per key: the one with the smallest ``earliest`` columns."""
+    order = [F.col(c).asc_nulls_last() for c in earliest]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
 def dedup_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows before and after dedup on ``keys``, with the share removed, in one row."""
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -65,7 +72,6 @@ def dedup_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# Names of the price-bar rules.
 def bar_rules() -> dict[str, Column]:
     """Domain rules of a price bar; each is TRUE, FALSE or NULL when it cannot be judged."""
     return {

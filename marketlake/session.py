@@ -15,6 +15,8 @@ SESSION_DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": "50MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions of a busy key are merged within each map task before the shuffle
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 # The two profiles used to compare a plain plan with an adaptive one.

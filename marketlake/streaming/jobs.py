@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlake.streaming.dedup import dedup_within_watermark
@@ -25,14 +26,15 @@ def staged_events(
     """Parsed events, each id once, with the late flag.
 
     The flag depends on the row alone and is set before the dedup. Rows without an event
-    time use the time of the log record for the watermark, so they reach the quarantine.
+    time use the time of the log record for the watermark, and rows without an id their
+    place in the log for the dedup, so that all of them reach the quarantine.
     """
-    flagged = flag_late(parse_events(raw), seconds).withColumn(
-        "_watermark_ts", event_time_or_arrival()
-    )
-    return dedup_within_watermark(
-        flagged, "event_id", "_watermark_ts", f"{seconds} seconds", salt_on
+    keep = ["source_offset", "source_partition", "kafka_ts", "_ingested_at"]
+    place = F.concat_ws(":", F.lit("offset"), "source_partition", "source_offset")
+    flagged = flag_late(parse_events(raw, keep), seconds).withColumns(
+        {"_watermark_ts": event_time_or_arrival(), "_id": F.coalesce("event_id", place)}
     )
+    return dedup_within_watermark(flagged, "_id", "_watermark_ts", f"{seconds} seconds", salt_on)
 
 
 def staged_job(raw: DataFrame, root: str, **trigger) -> StreamingQuery:
