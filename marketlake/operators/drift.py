@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,33 +19,9 @@ def long_features(df: DataFrame, ids: list[str], features: list[str]) -> DataFra
     )
 
 
-def _edge(lo: Column, hi: Column, k: int, bins: int) -> Column:
-    return lo + F.lit(float(k)) * ((hi - lo) / F.lit(float(bins)))
-
-
-def _bin_counter(bins: int):
-    """Count sorted baseline values between the edges of every monitored group."""
-
-    def count(values: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if edges.empty or values.empty:
-            return pd.DataFrame({"feature_name": [], "by": [], "bin": [], "e": []})
-        ordered = np.sort(values["value"].to_numpy())
-        lo, hi = edges["lo"].to_numpy(), edges["hi"].to_numpy()
-        inner = lo[:, None] + np.arange(1.0, bins) * ((hi - lo) / float(bins))[:, None]
-        below = np.searchsorted(ordered, inner, side="left")
-        start = np.zeros((len(lo), 1), dtype=np.int64)
-        end = np.full((len(lo), 1), len(ordered), dtype=np.int64)
-        counts = np.diff(np.hstack([start, below, end]), axis=1)
-        return pd.DataFrame(
-            {
-                "feature_name": np.repeat(edges["feature"].to_numpy(), bins),
-                "by": np.repeat(edges["by"].to_numpy(), bins),
-                "bin": np.tile(np.arange(bins), len(lo)),
-                "e": counts.ravel(),
-            }
-        )
-
-    return count
+def _edge(k: int | str, bins: int) -> str:
+    """The ``k``-th inner edge between ``lo`` and ``hi``, as SQL."""
+    return f"lo + CAST({k} AS DOUBLE) * ((hi - lo) / {bins}D)"
 
 
 def psi(
@@ -59,9 +33,10 @@ def psi(
     span baseline and group together, so they differ per group; the last bin is closed.
     Fewer than ``2 * bins`` values give 0.
 
-    The baseline is needed under the edges of every group. It is not paired with them:
-    it is cut into ``slices`` by content, each slice is sorted once and all edges are
-    looked up in it, which gives exact partial bin counts to add up.
+    The baseline is counted under the edges of every group without pairing the two: it is
+    cut into ``slices`` by content, the inner edges are sorted in among the values of each
+    slice, and a running count tells how many values lie below each edge. The slices add up
+    to exact counts and keep a large feature from landing in one task.
     """
     base_stats = baseline.groupBy("feature_name").agg(
         F.min("value").alias("b_lo"), F.max("value").alias("b_hi"), F.count("value").alias("b_n")
@@ -81,55 +56,64 @@ def psi(
         F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
         F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
     )
+    inner = range(1, bins)
 
-    by_type = dict(current.dtypes)[by]
-    cut = F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int")
-    expected = (
-        baseline.select(F.col("feature_name").alias("base_feature"), "value", cut.alias("slice"))
-        .groupBy("base_feature", "slice")
-        .cogroup(
-            edges.select(
-                F.col("feature_name").alias("feature"),
-                "by",
-                "lo",
-                "hi",
-                F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("cut"),
-            ).groupBy("feature", "cut")
-        )
-        .applyInPandas(
-            _bin_counter(bins), f"feature_name string, by {by_type}, bin int, e bigint"
+    values = baseline.select(
+        "feature_name",
+        F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int").alias("slice"),
+        "value",
+        F.lit(1).alias("is_value"),
+    )
+    marks = (
+        edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        .select(
+            "feature_name",
+            "slice",
+            F.expr(_edge("k", bins)).alias("value"),
+            F.lit(0).alias("is_value"),
+            "by",
+            "k",
         )
-        .withColumn("a", F.lit(0).cast("long"))
     )
-
-    inside = sum(
-        (F.col("value") >= _edge(F.col("lo"), F.col("hi"), k, bins)).cast("int")
-        for k in range(1, bins)
+    # an edge goes before equal values, which belong to the bin above it
+    upward = (
+        Window.partitionBy("feature_name", "slice")
+        .orderBy("value", "is_value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    expected = (
+        values.unionByName(marks, allowMissingColumns=True)
+        .withColumn("below", F.sum("is_value").over(upward))
+        .filter("is_value = 0")
+        .groupBy("feature_name", "by")
+        .agg(*[F.expr(f"sum(below) FILTER (WHERE k = {k}) AS e{k}") for k in inner])
     )
     actual = (
         current.select("feature_name", F.col(by).alias("by"), "value")
         .join(edges, ["feature_name", "by"])
-        .groupBy("feature_name", "by", inside.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("a"))
-        .withColumn("e", F.lit(0).cast("long"))
-    )
-    counts = expected.unionByName(actual).groupBy("feature_name", "by", "bin").agg(
-        F.sum("e").alias("e"), F.sum("a").alias("a")
-    )
-    e_share = F.col("e") / F.greatest("b_n", F.lit(1)) + F.lit(SHARE_EPSILON)
-    a_share = F.col("a") / F.greatest("c_n", F.lit(1)) + F.lit(SHARE_EPSILON)
-    term = (a_share - e_share) * F.ln(a_share / e_share)
-    return (
-        counts.join(edges, ["feature_name", "by"])
         .groupBy("feature_name", "by", "b_n", "c_n")
-        .agg(F.sum(term).alias("raw"))
-        .select(
-            "feature_name",
-            F.col("by").alias(by),
-            F.when(F.col("b_n") + F.col("c_n") < 2 * bins, F.lit(0.0))
-            .otherwise(F.greatest("raw", F.lit(0.0)))
-            .alias("psi"),
-        )
+        .agg(*[F.expr(f"count_if(value < {_edge(k, bins)}) AS a{k}") for k in inner])
+    )
+
+    below = {
+        side: f"array(0L, {', '.join(f'{side}{k}' for k in inner)}, {total})"
+        for side, total in (("a", "c_n"), ("e", "b_n"))
+    }
+    share = {
+        side: f"zip_with(slice({below[side]}, 2, {bins}), slice({below[side]}, 1, {bins}), "
+        f"(upper, lower) -> (upper - lower) / greatest({total}, 1L) + {SHARE_EPSILON}D)"
+        for side, total in (("a", "c_n"), ("e", "b_n"))
+    }
+    raw = (
+        f"aggregate(zip_with({share['a']}, {share['e']}, (a, e) -> (a - e) * ln(a / e)), "
+        "0D, (total, term) -> total + term)"
+    )
+    enough = f"b_n + c_n >= {2 * bins}"
+    return actual.join(expected, ["feature_name", "by"]).select(
+        "feature_name",
+        F.col("by").alias(by),
+        F.expr(f"CASE WHEN {enough} THEN greatest({raw}, 0D) ELSE 0D END").alias("psi"),
     )
 
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlake import storage
 from marketlake.operators.shape import dedup_first, split_versions
 from marketlake.plans import analytics, dimensions, facts, staging
 from marketlake.session import pin_utc, stream_session
@@ -22,7 +23,7 @@ REPORT_DAY = "1998-07-15"
 
 
 class Market:
-    """Domain tables of one folder. Frames are lazy; nothing here runs a job."""
+    """Domain tables of one folder. Frames are lazy but for the ones called stored."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = pin_utc(spark)
@@ -74,9 +75,16 @@ class Market:
     def labels(self) -> DataFrame:
         return analytics.build_ml_ticker_label(self.fact)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """A table written once in the shared folder, for steps that read it several times."""
+        path = f"{storage.work_dir(self.spark, 'stored')}/{name}"
+        storage.write_snapshot(df, path)
+        return storage.read_table(self.spark, path)
+
     @cached_property
     def health(self) -> DataFrame:
-        return analytics.build_feature_health(self.features, self.fact, DRIFT_START, slices=8)
+        features = self.stored(self.features, "feat_ticker_daily")
+        return analytics.build_feature_health(features, features, DRIFT_START, slices=8)
 
     @cached_property
     def tick_features(self) -> DataFrame:

@@ -837,9 +837,9 @@ oracle(
 )
 oracle(
     "partitioned_roundtrip",
-    """SELECT ticker_id, trade_date, volume, vendor FROM raw_bars
-    WHERE trade_date >= DATE '1997-12-01' AND trade_date < DATE '1998-02-01'
-        AND (vendor <> 'R' OR year(trade_date) = 1998)
+    """SELECT ticker_id, trade_date, volume, vendor,
+        CAST(year(trade_date) * 100 + month(trade_date) AS INTEGER) AS trade_month
+    FROM raw_bars WHERE vendor <> 'R' OR year(trade_date) = 1998
     QUALIFY row_number() OVER (PARTITION BY ticker_id, trade_date ORDER BY _ingested_at DESC) = 1""",
 )
 oracle(
