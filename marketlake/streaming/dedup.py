@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def dedup_within_watermark(
@@ -36,38 +31,12 @@ def dedup_forever(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
-def dedup_with_ttl(df: DataFrame, key: str, event_ts: str, delay: str, ttl_seconds: int) -> DataFrame:
-    """First arrival per key, remembered for ``ttl_seconds`` of event time after it.
+def dedup_with_ttl(df: DataFrame, key: str, event_ts: str, ttl_seconds: int) -> DataFrame:
+    """First arrival per key, forgotten ``ttl_seconds`` of event time after it.
 
-    State is one flag per key and goes away when the watermark passes its time limit.
-    Copies beyond the first are skipped batch by batch and never held together.
+    The time to live is the watermark delay: the engine drops the state of a key once the
+    watermark has passed its first event by that much.
     """
-    columns = df.columns
-
-    def first_only(
-        _key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        for batch in batches:
-            if state.exists or batch.empty:
-                continue
-            first = batch.iloc[[0]]
-            state.update((True,))
-            seen_ms = int(first[event_ts].iloc[0].timestamp() * 1000)
-            floor_ms = state.getCurrentWatermarkMs() + 1
-            state.setTimeoutTimestamp(max(seen_ms + ttl_seconds * 1000, floor_ms))
-            yield first[columns]
-
-    return (
-        df.withWatermark(event_ts, delay)
-        .groupBy(key)
-        .applyInPandasWithState(
-            first_only,
-            T.StructType(df.schema.fields),
-            "seen boolean",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    return df.withWatermark(event_ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(
+        [key]
     )

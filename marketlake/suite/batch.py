@@ -35,10 +35,14 @@ def ntz(column: str, alias: str | None = None):
 
 
 def fixed(value, digits: int = 4):
-    """Round half up in plain arithmetic, the form the SQL side uses too."""
+    """Round in plain arithmetic, the form the SQL side uses too.
+
+    The offset is a little over one half: decimal halves are common among prices, and
+    the last bit of a double must not decide them.
+    """
     value = F.col(value) if isinstance(value, str) else value
     unit = float(10**digits)
-    return F.floor(value * unit + 0.5) / F.lit(unit)
+    return F.floor(value * unit + 0.5003) / F.lit(unit)
 
 
 def rounded(column: str, digits: int = 4):

@@ -66,9 +66,7 @@ def stream_dedup_forever(m: Market) -> DataFrame:
 @query
 def stream_dedup_ttl(m: Market) -> DataFrame:
     parsed = parse_events(m.live_raw()).select("event_id", "event_type", "event_ts")
-    once = _stored(
-        m, dedup.dedup_with_ttl(parsed, "event_id", "event_ts", "60 seconds", 600), "dedup-ttl"
-    )
+    once = _stored(m, dedup.dedup_with_ttl(parsed, "event_id", "event_ts", 600), "dedup-ttl")
     return once.select("event_id", "event_type")
 
 

@@ -236,7 +236,8 @@ VIEWS: dict[str, str] = {
 def _same_rounding(text: str) -> str:
     """Spell ``round(x, d)`` out as plain arithmetic.
 
-    The engines break ties of decimal halves differently; both sides use this form.
+    The engines break ties of decimal halves differently; both sides use this form, with
+    an offset a little over one half so that the last bit of a double decides nothing.
     """
     while (at := text.find("round(")) >= 0:
         depth, end, comma = 1, at + 6, None
@@ -248,7 +249,7 @@ def _same_rounding(text: str) -> str:
             end += 1
         value = text[at + 6 : comma or end - 1]
         unit = "1" + "0" * int(text[comma + 1 : end - 1]) if comma else "1"
-        text = f"{text[:at]}(floor(({value}) * {unit} + CAST(0.5 AS DOUBLE)) / {unit}){text[end:]}"
+        text = f"{text[:at]}(floor(({value}) * {unit} + CAST(0.5003 AS DOUBLE)) / {unit}){text[end:]}"
     return text
 
 
