@@ -135,6 +135,5 @@ def null_safe_change(old: str, new: str, columns: list[str]) -> Column:
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows without a change plus all changes; changed keys are replaced."""
-    return target.join(changes.select(*keys), keys, "left_anti").unionByName(
-        changes, allowMissingColumns=True
-    )
+    kept = target.join(changes.select(*keys), keys, "left_anti").select(*target.columns)
+    return kept.unionByName(changes, allowMissingColumns=True)

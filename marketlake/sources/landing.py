@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.storage import glob_paths, swap_in, work_dir
 
+# The partition columns of a versioned drop.
+PARTITIONS = {"schema_version": "int", "trade_date": "date"}
+
 
-def scan_landing(spark: SparkSession, root: str, table: str) -> DataFrame:
+def scan_landing(
+    spark: SparkSession, root: str, table: str, partitions: dict[str, str] | None = None
+) -> DataFrame:
     """Read every drop of a table over all run dates, schema versions merged.
 
-    Flat drops and drops partitioned by ``schema_version`` and ``trade_date`` may be
-    mixed; each layout is read as one scan with its own partition columns, so filters on
-    these prune folders. ``run_date`` comes from the path of the file.
+    A single partitioned drop is read with its partition columns, so filters on them prune
+    folders. Several drops, which may be flat or partitioned, are one recursive scan whose
+    partition values come from the file paths; ``partitions`` names them and their types.
+    ``run_date`` always comes from the path.
     """
+    partitions = PARTITIONS if partitions is None else partitions
     roots = glob_paths(spark, f"{root}/run_date=*/{table}")
     nested = [r for r in roots if glob_paths(spark, f"{r}/*=*")]
-    flat = [r for r in roots if r not in nested and glob_paths(spark, f"{r}/*.parquet")]
-    scans = [
-        spark.read.option("mergeSchema", True).parquet(*group) for group in (nested, flat) if group
-    ]
-    if not scans:
+    if not nested and not any(glob_paths(spark, f"{r}/*.parquet") for r in roots):
         raise FileNotFoundError(f"no Parquet files under {root}/run_date=*/{table}")
-    run_date = F.regexp_extract(F.col("_metadata.file_path"), r"run_date=([^/]+)/", 1)
-    stamped = [s.select("*", run_date.alias("run_date")) for s in scans]
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stamped)
+    reader = spark.read.option("mergeSchema", True)
+    path = F.col("_metadata.file_path")
+    run_date = F.regexp_extract(path, r"run_date=([^/]+)/", 1).alias("run_date")
+    if len(roots) == 1:
+        df = reader.parquet(*roots).select("*", run_date)
+    else:
+        df = reader.option("recursiveFileLookup", True).parquet(*roots)
+        found = {}
+        for name, kind in partitions.items():
+            value = F.nullif(F.regexp_extract(path, f"/{name}=([^/]+)/", 1), F.lit(""))
+            stored = [F.col(name)] if name in df.columns else []
+            found[name] = F.coalesce(*stored, value.cast(kind)).alias(name)
+        others = [c for c in df.columns if c not in found]
+        df = df.select(*others, *found.values(), run_date)
     if "schema_version" in df.columns and "_schema_version" not in df.columns:
         df = df.withColumnRenamed("schema_version", "_schema_version")
     return df

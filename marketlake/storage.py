@@ -87,17 +87,25 @@ def read_table_if_present(spark: SparkSession, path: str, fmt: str = "parquet")
 
 
 def write_snapshot(
-    df: DataFrame, path: str, partition_by: str | None = None, fmt: str = "parquet"
+    df: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    fmt: str = "parquet",
+    writers: int | None = None,
 ) -> None:
     """Replace a whole table, schema included; safe when ``df`` reads the same path.
 
     Rows are rebalanced on the partition column, so a date holds few files and a
-    date with very many rows is split over several tasks.
+    date with very many rows is split over several tasks. Tasks are sized by bytes; for a
+    small table with very many partitions ``writers`` sets their number instead.
     """
     spark = df.sparkSession
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     if partition_by:
-        df.hint("rebalance", partition_by).write.format(fmt).partitionBy(partition_by).save(staged)
+        placed = (
+            df.repartition(writers, partition_by) if writers else df.hint("rebalance", partition_by)
+        )
+        placed.write.format(fmt).partitionBy(partition_by).save(staged)
     else:
         df.write.format(fmt).save(staged)
     swap_in(spark, staged, path)
@@ -181,7 +189,7 @@ def _rank_bucket(value: Column, bounds: list[float]) -> Column:
         return F.lit(0)
     middle = len(bounds) // 2
     return F.when(
-        value < bounds[middle], _rank_bucket(value, bounds[:middle])
+        value <= bounds[middle], _rank_bucket(value, bounds[:middle])
     ).otherwise(_rank_bucket(value, bounds[middle + 1 :]) + (middle + 1))
 
 

@@ -605,7 +605,7 @@ def top_movers(m: Market) -> DataFrame:
 @query
 def dimension_rollup(m: Market) -> DataFrame:
     dims = facts.current_rows(m.dim_ticker, "exchange", "icb_l1")
-    notional = F.round(F.col("close") * F.col("volume") * 100).cast("long")
+    notional = fixed(F.col("close") * F.col("volume") * 100, 0).cast("long")
     return (
         m.staged.select("ticker_id", notional.alias("cents"))
         .join(dims, "ticker_id")
@@ -715,7 +715,7 @@ def landing_scan(m: Market) -> DataFrame:
     )
     latest = m.tables.bars_by_vendor().filter("vendor = 'R'").drop("_schema_version", "vendor")
     landing.write_landing(latest, root, "2002-01-02", "ohlcv_daily")
-    df = landing.scan_landing(m.spark, root, "ohlcv_daily")
+    df = landing.scan_landing(m.spark, root, "ohlcv_daily", {"schema_version": "int"})
     return df.select(
         "run_date",
         "ticker_id",
@@ -837,7 +837,7 @@ def _amplified(m: Market) -> DataFrame:
     """Bars with all tickers of one exchange under one hot key, repeated eight times more."""
     dims = facts.current_rows(m.dim_ticker, "exchange")
     bars = m.staged.select(
-        *GRAIN, F.round(F.col("close") * F.col("volume") * 100).cast("long").alias("cents")
+        *GRAIN, fixed(F.col("close") * F.col("volume") * 100, 0).cast("long").alias("cents")
     ).join(dims, "ticker_id")
     return skew.amplify(bars, F.col("exchange") == "HOSE", "ticker_id", "HOT", 1, 8)
 
