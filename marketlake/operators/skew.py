@@ -31,11 +31,16 @@ def salted_agg(
     return first.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys with more than ``share`` of all rows: fewer than ``1 / share`` of them."""
+def hot_keys(df: DataFrame, key: str, share: float) -> list:
+    """Keys with more than ``share`` of all rows.
+
+    There are fewer than ``1 / share`` of them whatever the size of the data, so the list
+    may come to the driver. Rows without a key are not counted as one.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows"))
-    return counts.filter(F.col("_rows") > total.scalar() * share).select(key)
+    hot = counts.filter((F.col("_rows") > total.scalar() * share) & F.col(key).isNotNull())
+    return [row[0] for row in hot.select(key).collect()]
 
 
 def salted_join(
@@ -50,23 +55,22 @@ def salted_join(
     """Equi join in which only hot keys are salted.
 
     Rows of a hot key get one of ``salts`` salts by content and the matching rows of the
-    other side are repeated once per salt; all other keys join as usual. At most
-    ``1 / hot_share`` keys can be hot, which bounds both the broadcast list of hot keys
-    and the repeated rows. ``how`` may be inner or left.
+    other side are repeated once per salt; all other keys join as usual. Fewer than
+    ``1 / hot_share`` keys can be hot, which bounds both their list and the repeated rows.
+    One aggregation over ``big`` finds them first. ``how`` may be inner or left.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(big, key, hot_share).withColumn("_hot", F.lit(True)))
-    spread = big.join(hot, key, "left").withColumn(
-        "_salt",
-        # rows without a key match nothing, so they may go anywhere
-        F.when(F.col("_hot") | F.col(key).isNull(), salt_of(salt_on, salts)).otherwise(F.lit(0)),
-    )
-    copies = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    repeated = small.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), copies))
+    hot = hot_keys(big, key, hot_share)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    # rows without a key match nothing, so they may go anywhere
+    scattered = is_hot | F.col(key).isNull()
+    spread = big.withColumn(
+        "_salt", F.when(scattered, salt_of(salt_on, salts)).otherwise(F.lit(0))
     )
-    return spread.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    copies = F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
+    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def amplify(df: DataFrame, is_hot: Column, key: str, hot_name: str, scale: int, hot_factor: int):

@@ -28,16 +28,27 @@ LABEL_RISE = 1.01
 LABEL_TIME = "15:10:00"
 
 
+NET_VALUE = "foreign_net_value"
+
+
+def with_net_value(prices: DataFrame, flow: DataFrame | None) -> DataFrame:
+    """Prices with the day's net foreign value; NULL without a flow table.
+
+    Prices that already carry the column are taken as they are.
+    """
+    if NET_VALUE in prices.columns:
+        return prices
+    if flow is None:
+        return prices.withColumn(NET_VALUE, F.lit(None).cast("long"))
+    return prices.join(flow.select(*GRAIN, NET_VALUE), GRAIN, "left")
+
+
 def build_obt(
     fact: DataFrame, dim_ticker: DataFrame | None, flow: DataFrame | None
 ) -> DataFrame:
     """Denormalised daily performance per ticker, from raw closes."""
-    if flow is None:
-        wide = fact.withColumn("foreign_net_value", F.lit(None).cast("double"))
-    else:
-        wide = fact.join(flow.select(*GRAIN, "foreign_net_value"), GRAIN, "left")
     series = Series("ticker_id", "trade_date")
-    wide = wide.withColumns(
+    wide = with_net_value(fact, flow).withColumns(
         {
             "prev_close": series.lag("close"),
             "close_5d_ago": series.lag("close", 5),
@@ -70,17 +81,13 @@ def build_obt(
 def build_feat_ticker_daily(fact: DataFrame, flow: DataFrame | None) -> DataFrame:
     """Daily features over trading-day windows, from raw closes."""
     series = Series("ticker_id", "trade_date")
-    if flow is None:
-        joined = fact.withColumn("_net", F.lit(None).cast("double"))
-    else:
-        net = (F.col("foreign_buy_value") - F.col("foreign_sell_value")).alias("_net")
-        joined = fact.join(flow.select(*GRAIN, net), GRAIN, "left")
-    windowed = joined.withColumns(
+    known = flow is not None or NET_VALUE in fact.columns
+    windowed = with_net_value(fact, flow).withColumns(
         {
             "_prev": series.lag("close"),
             "_prev5": series.lag("close", 5),
             "_ma20": series.mean("close", 20),
-            "_net10": series.total(F.coalesce("_net", F.lit(0)), 10),
+            "_net10": series.total(F.coalesce(NET_VALUE, F.lit(0)), 10),
             "_value10": series.total(F.coalesce("value", F.lit(0.0)), 10),
         }
     ).withColumn("_return", relative_change("close", "_prev"))
@@ -92,7 +99,7 @@ def build_feat_ticker_daily(fact: DataFrame, flow: DataFrame | None) -> DataFram
         relative_change("close", "_prev5").alias("f_ticker_return_5d"),
         series.deviation("_return", 20).alias("f_ticker_volatility_20d"),
         relative_change("close", "_ma20").alias("f_ticker_ma20_gap"),
-        (ratio if flow is not None else F.lit(None))
+        (ratio if known else F.lit(None))
         .cast("double")
         .alias("f_ticker_foreign_net_ratio_10d"),
     )

@@ -47,15 +47,19 @@ def build_fact_daily_price(
     dim_ticker: DataFrame | None = None,
     dim_date: DataFrame | None = None,
     actions: DataFrame | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Daily prices with dimension keys and the back-adjusted close.
 
+    ``keep`` names further columns of the staged prices to carry along, such as the net
+    foreign value joined to them while both are still partitioned by ticker and date.
+
     The adjustment leaves rows partitioned by ticker, which is also the key of the
     ticker lookup and of every later window over the fact. The lookup has no hint: it is
     broadcast when its size is known to be small, and merged on that partitioning when not.
     """
     fact = back_adjust(
-        staged.select(*PRICE_COLUMNS),
+        staged.select(*PRICE_COLUMNS, *(keep or [])),
         price_factors(actions) if actions is not None else None,
         "ticker_id",
         "trade_date",
@@ -71,7 +75,11 @@ def build_fact_daily_price(
         fact = with_date_key(fact, dim_date, "trade_date")
         keys.append("date_key")
     return fact.select(
-        *keys, *PRICE_COLUMNS, "adj_close", F.current_timestamp().alias("created_ts")
+        *keys,
+        *PRICE_COLUMNS,
+        *(keep or []),
+        "adj_close",
+        F.current_timestamp().alias("created_ts"),
     )
 
 

@@ -268,7 +268,7 @@ def fact_foreign_flow(m: Market) -> DataFrame:
 
 @query
 def fact_intraday(m: Market) -> DataFrame:
-    dates = dimensions.build_dim_date(m.trades, "event_ts")
+    dates = dimensions.build_dim_date(m.tables.read("events"), "ts")
     sessions = dimensions.static_dimension(m.spark, "dim_session")
     fact = facts.build_fact_intraday_trade(m.trades, m.dim_ticker, dates, sessions)
     return fact.select(

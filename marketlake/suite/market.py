@@ -56,8 +56,15 @@ class Market:
 
     @cached_property
     def fact(self) -> DataFrame:
-        """The fact without key lookups, for tables that do not use the keys."""
-        return facts.build_fact_daily_price(self.staged, actions=self.tables.actions())
+        """The fact without key lookups, with the net foreign value of the day.
+
+        Staged prices and flow are both partitioned by ticker and date when they are
+        joined; all that follows needs the ticker alone and one more shuffle.
+        """
+        prices = analytics.with_net_value(self.staged, self.flow)
+        return facts.build_fact_daily_price(
+            prices, actions=self.tables.actions(), keep=[analytics.NET_VALUE]
+        )
 
     @cached_property
     def flow(self) -> DataFrame:
@@ -65,11 +72,11 @@ class Market:
 
     @cached_property
     def obt(self) -> DataFrame:
-        return analytics.build_obt(self.fact, self.dim_ticker, self.flow)
+        return analytics.build_obt(self.fact, self.dim_ticker, None)
 
     @cached_property
     def features(self) -> DataFrame:
-        return analytics.build_feat_ticker_daily(self.fact, self.flow)
+        return analytics.build_feat_ticker_daily(self.fact, None)
 
     @cached_property
     def labels(self) -> DataFrame:

@@ -49,8 +49,8 @@ def test_daily_features(fact):
 
 def test_foreign_ratio_counts_absent_days_as_zero(fact, frame):
     flow = frame(
-        "ticker_id string, trade_date date, foreign_buy_value long, foreign_sell_value long",
-        [("A", "2025-01-01", 30, 10), ("A", "2025-01-03", 5, 0)],
+        "ticker_id string, trade_date date, foreign_net_value long",
+        [("A", "2025-01-01", 20), ("A", "2025-01-03", 5)],
     )
     rows = build_feat_ticker_daily(fact, flow).orderBy("trade_date").collect()
     ratio = [r.f_ticker_foreign_net_ratio_10d for r in rows]
