@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlake import storage
+
 TOP_VOLUME = """
 SELECT ticker_id, round(avg(volume), 0) AS avg_volume, round(avg(close), 2) AS avg_close
 FROM {prices}
@@ -42,6 +44,23 @@ LIMIT {k}
 """
 
 
+def register_tables(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Make stored tables known to SQL under their own names; absent ones are left out."""
+    found = [n for n in names if storage.path_exists(spark, f"{root}/{n}")]
+    for name in found:
+        storage.read_table(spark, f"{root}/{name}").createOrReplaceTempView(name)
+    return found
+
+
+def list_tables(spark: SparkSession) -> list[str]:
+    return sorted(t.name for t in spark.catalog.listTables())
+
+
+def describe(spark: SparkSession, name: str) -> DataFrame:
+    """Columns and types of a registered table."""
+    return spark.sql("DESCRIBE IDENTIFIER(:name)", args={"name": name})
+
+
 def run_report(spark: SparkSession, text: str, frames: dict[str, DataFrame], **values) -> DataFrame:
     """Run a report with its named frames and literal values filled in."""
     for name, value in values.items():

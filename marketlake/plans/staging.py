@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlake.contracts import Contract
+from marketlake import storage
+from marketlake.contracts import RAW_OHLCV_V1, RAW_OHLCV_V2, Contract
 from marketlake.operators.contract import enforce
 from marketlake.operators.shape import (
     add_ingest_columns,
@@ -13,6 +15,7 @@ from marketlake.operators.shape import (
     flag_rules,
     harmonise,
 )
+from marketlake.sources.landing import scan_landing
 
 GRAIN = ["ticker_id", "trade_date"]
 LATER_COLUMNS = {"value": "double", "foreign_room": "double"}
@@ -30,6 +33,51 @@ def ingest(
     return add_ingest_columns(checked, batch_id, schema_version, source)
 
 
+# Landing tables other than prices and the raw tables they become.
+RAW_TABLES = {
+    "foreign_flow_daily": "raw_foreign_flow",
+    "corporate_actions": "raw_corporate_actions",
+    "financial_ratios": "raw_financial_ratios",
+    "tickers": "raw_tickers",
+}
+
+
+def ingest_landing(spark: SparkSession, landing: str, root: str, batch_id: str) -> dict[str, str]:
+    """Bring every landed table into its raw table; absent ones are skipped.
+
+    Prices become one table per schema version, each checked against its contract before
+    anything of it is written. Columns that only the other version has do not count.
+    """
+    paths: dict[str, str] = {}
+
+    def store(name: str, df: DataFrame) -> None:
+        paths[name] = f"{root}/{name}"
+        storage.write_snapshot(df, paths[name])
+
+    try:
+        prices = scan_landing(spark, landing, "ohlcv_daily").drop("run_date")
+    except FileNotFoundError:
+        prices = None
+    if prices is not None:
+        present = {
+            row[0] for row in prices.select(F.col("_schema_version").cast("int")).distinct().collect()
+        }
+        for contract in (RAW_OHLCV_V1, RAW_OHLCV_V2):
+            if contract.version in present:
+                rows = prices.filter(F.col("_schema_version") == contract.version)
+                store(
+                    f"raw_ohlcv_daily_v{contract.version}",
+                    ingest(rows, batch_id, contract, contract.version),
+                )
+    for table, name in RAW_TABLES.items():
+        try:
+            df = scan_landing(spark, landing, table).drop("run_date")
+        except FileNotFoundError:
+            continue
+        store(name, ingest(df, batch_id))
+    return paths
+
+
 def stage_daily_price(versions: list[DataFrame]) -> DataFrame:
     """One flagged bar per ticker and date from the raw schema versions."""
     merged = harmonise(versions, LATER_COLUMNS)

@@ -1,0 +1,76 @@
+"""A skewed workload run under two settings, to see what adaptive execution is worth."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketlake.operators.skew import amplify
+from marketlake.session import WORKLOAD_PROFILES
+
+# One ticker in twenty is hot, and a hot row is repeated this much more.
+HOT_ONE_IN = 20
+HOT_FACTOR = 32
+TOP = 20
+
+
+def skewed_rows(facts: DataFrame, scale: int) -> DataFrame:
+    """Facts repeated ``scale`` times, hot tickers more, with the notional shared out."""
+    is_hot = F.pmod(F.xxhash64("ticker_id"), F.lit(HOT_ONE_IN)) == 0
+    rows = amplify(
+        facts.select("ticker_id", "trade_date", "close", "volume"),
+        is_hot,
+        "ticker_id",
+        "HOT",
+        scale,
+        HOT_FACTOR,
+    )
+    return rows.withColumn("notional", F.col("close") * F.col("volume") / F.col("repeats"))
+
+
+def workload(facts: DataFrame, dim_ticker: DataFrame, scale: int = 1) -> dict[str, DataFrame]:
+    """Skewed aggregation, dimension join, and join on the hot key by merging."""
+    rows = skewed_rows(facts, scale)
+    top = [F.desc("event_count"), F.col("partition_key")]
+    totals = [F.count(F.lit(1)).alias("event_count"), F.sum("notional").alias("total_notional")]
+    weights = (
+        rows.select("partition_key")
+        .distinct()
+        .withColumn(
+            "risk_weight", F.when(F.col("partition_key") == "HOT", 1.5).otherwise(F.lit(1.0))
+        )
+    )
+    dims = dim_ticker.filter("is_current").select("ticker_id", "exchange", "icb_l1")
+    return {
+        "skewed_aggregation": rows.groupBy("partition_key").agg(*totals).orderBy(*top).limit(TOP),
+        "dimension_join": rows.join(dims, "ticker_id").groupBy("exchange", "icb_l1").agg(*totals),
+        "skewed_merge_join": rows.hint("merge")
+        .join(weights.hint("merge"), "partition_key")
+        .groupBy("partition_key")
+        .agg(
+            F.count(F.lit(1)).alias("event_count"),
+            F.sum(F.col("notional") * F.col("risk_weight")).alias("risk_adjusted_notional"),
+        )
+        .orderBy(*top)
+        .limit(TOP),
+    }
+
+
+def time_profiles(
+    spark: SparkSession, build: Callable[[SparkSession], dict[str, DataFrame]]
+) -> dict[str, dict[str, float]]:
+    """Seconds of each part under each profile; ``build`` makes the parts in a session."""
+    seconds: dict[str, dict[str, float]] = {}
+    for profile, settings in WORKLOAD_PROFILES.items():
+        session = spark.newSession()
+        for key, value in settings.items():
+            session.conf.set(key, value)
+        seconds[profile] = {}
+        for name, df in build(session).items():
+            started = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            seconds[profile][name] = round(time.perf_counter() - started, 3)
+    return seconds
