@@ -56,7 +56,12 @@ class Market:
 
     @cached_property
     def fact(self) -> DataFrame:
-        """The fact without key lookups, with the net foreign value of the day.
+        """The fact without key lookups."""
+        return facts.build_fact_daily_price(self.staged, actions=self.tables.actions())
+
+    @cached_property
+    def fact_with_flow(self) -> DataFrame:
+        """The fact with the net foreign value of the day.
 
         Staged prices and flow are both partitioned by ticker and date when they are
         joined; all that follows needs the ticker alone and one more shuffle.
@@ -72,11 +77,11 @@ class Market:
 
     @cached_property
     def obt(self) -> DataFrame:
-        return analytics.build_obt(self.fact, self.dim_ticker, None)
+        return analytics.build_obt(self.fact_with_flow, self.dim_ticker, None)
 
     @cached_property
     def features(self) -> DataFrame:
-        return analytics.build_feat_ticker_daily(self.fact, None)
+        return analytics.build_feat_ticker_daily(self.fact_with_flow, None)
 
     @cached_property
     def labels(self) -> DataFrame:

@@ -572,7 +572,7 @@ oracle(
 )
 oracle(
     "feature_health",
-    """SELECT monitoring_date, feature_name, round(mean, 4) AS mean_value,
+    """SELECT monitoring_date, feature_name, round(round(mean, 6), 4) AS mean_value,
         round(psi, 4) AS psi_vs_baseline, psi > 0.15 AS alert_flag FROM health""",
 )
 oracle(
