@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlake.llm import exact_dedup, quality_rules, simhash
+from marketlake import storage
+from marketlake.llm import exact_dedup, packing, quality_rules, records, sharding, simhash
 from marketlake.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    return public_tokenizers.path(name)
+
+
 def query(run: Callable[[SparkSession, str], DataFrame]):
     QUERIES[run.__name__] = run
     return run
@@ -39,3 +47,30 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.members(documents(spark, folder))
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op7_records(spark: SparkSession, folder: str) -> DataFrame:
+    path = storage.work_dir(spark, "records")
+    records.write_records(documents(spark, folder), path, vocabulary("byte_bpe_50k.json"))
+    return records.read_index(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32"
+    )
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, folder)).select(
+        "doc_id",
+        "size",
+        F.col("checksum").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

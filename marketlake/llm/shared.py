@@ -71,13 +71,24 @@ def winning_rows(rows: DataFrame, winners: DataFrame) -> DataFrame:
     return placed.filter("_place = 1").select("_row.*")
 
 
-def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with workers that find this package where the driver has it.
+def _importable(spark: SparkSession) -> None:
+    """Let workers find this package where the driver has it.
 
     On a cluster without it at that path, install it or send it with ``--py-files``.
     """
     root = str(Path(__file__).resolve().parents[2])
-    known = df.sparkSession.sparkContext.environment
+    known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with workers that find this package."""
+    _importable(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def group_in_arrow(df: DataFrame, keys: list[str], run: Callable, schema) -> DataFrame:
+    """``applyInArrow`` with workers that find this package; for groups of bounded size."""
+    _importable(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(run, schema)
