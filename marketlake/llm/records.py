@@ -50,13 +50,15 @@ def masked(data: bytes) -> int:
 
 
 def frame(key: int | None, ids: bytes) -> bytes:
-    """One record; ``ids`` are 32-bit numbers and take 16 bits each where all of them fit."""
+    """One record without its line feed; ``ids`` are 32-bit numbers and take 16 bits each
+    where all of them fit.
+    """
     numbers = np.frombuffer(ids, "<u4")
     narrow = not len(numbers) or int(numbers.max()) < 1 << 16
     body = BODY.pack(key or 0, key is None, 2 if narrow else 4)
     body += numbers.astype("<u2").tobytes() if narrow else ids
     head = HEAD.pack(len(body))
-    return b"".join([head, SUM.pack(masked(head)), body, SUM.pack(masked(body)), b"\n"])
+    return b"".join([head, SUM.pack(masked(head)), body, SUM.pack(masked(body))])
 
 
 def unframe(data: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
