@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake import storage
-from marketlake.llm import exact_dedup, packing, quality_rules, records, sharding, simhash
+from marketlake.llm import (
+    exact_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    records,
+    sharding,
+    simhash,
+    site_quality,
+)
 from marketlake.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +34,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(documents(spark, folder))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(documents(spark, folder)).select(
@@ -54,6 +68,12 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return site_quality.classify(documents(spark, folder), labels)
+
+
 @query
 def op7_records(spark: SparkSession, folder: str) -> DataFrame:
     path = storage.work_dir(spark, "records")

@@ -44,16 +44,20 @@ def words_of(text: Column) -> Column:
 
 
 def small_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", limit: int = 20_000
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str] | Column,
+    how: str = "inner",
+    limit: int = 20_000,
 ) -> DataFrame:
-    """Join with a table that is expected to be small, after counting it.
+    """Join with a table of narrow rows that is expected to be small, after counting it.
 
     Up to ``limit`` rows it is broadcast, so ``left`` is not shuffled; beyond that both
     sides are joined as Spark sees fit.
     """
     table = stored(right, "small")
     size = table.count()
-    return left.join(F.broadcast(table) if size <= limit else table, keys, how)
+    return left.join(F.broadcast(table) if size <= limit else table, on, how)
 
 
 def winning_rows(rows: DataFrame, winners: DataFrame) -> DataFrame:
