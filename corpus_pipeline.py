@@ -7,9 +7,10 @@ from a table and not from the lineage of all earlier ones.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import exact_dedup, quality_rules, simhash
+from marketlake.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from marketlake.llm.shared import documents, stored
 
 
@@ -28,10 +29,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.survivors(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of their sources uses them, at least once each."""
+    return mixing.mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("exact_dedup", exact),
     ("simhash_near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 # Fingerprints and token ids are beyond SQL; the tests compare with a plain version.

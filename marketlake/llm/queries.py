@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake import storage
@@ -13,8 +13,10 @@ from marketlake.llm import (
     exact_dedup,
     mixing,
     packing,
+    pii_semi_crf,
     quality_rules,
     records,
+    secret_crf,
     sharding,
     simhash,
     site_quality,
@@ -34,6 +36,40 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+def _listed(spans: Column) -> Column:
+    """kind:start:end of the spans, joined by commas."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def _counted(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op1_secret_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_crf.secrets(documents(spark, folder))
+    base = F.filter("spans", lambda s: s["kind"] != "secret")
+    return found.select(
+        "doc_id",
+        *[_counted(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_pii_semi_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_semi_crf.personal_data(documents(spark, folder))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[_counted(base, kind).alias(f"n_{kind}") for kind in pii_semi_crf.KINDS],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(documents(spark, folder))
