@@ -75,24 +75,30 @@ def winning_rows(rows: DataFrame, winners: DataFrame) -> DataFrame:
     return placed.filter("_place = 1").select("_row.*")
 
 
-def _importable(spark: SparkSession) -> None:
-    """Let workers find this package where the driver has it.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    On a cluster without it at that path, install it or send it with ``--py-files``.
+
+def _prepare(spark: SparkSession) -> None:
+    """Let workers find this package where the driver has it, and send texts in batches
+    that stay small when texts are long (unless the session has a batch size of its own).
+
+    On a cluster without the package at that path, install it or send it with ``--py-files``.
     """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own value
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with workers that find this package."""
-    _importable(df.sparkSession)
+    _prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def group_in_arrow(df: DataFrame, keys: list[str], run: Callable, schema) -> DataFrame:
     """``applyInArrow`` with workers that find this package; for groups of bounded size."""
-    _importable(df.sparkSession)
+    _prepare(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(run, schema)

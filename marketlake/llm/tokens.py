@@ -16,7 +16,7 @@ from struct import pack
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LONG = 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
