@@ -21,17 +21,26 @@ def back_adjust(
     Actions shrink to one factor per key and date first. Prices and actions are then
     stacked and one running product walks each key from its last date back, so a price
     row is never multiplied. A key holds at most two rows per calendar date here.
+
+    A factor that is not positive has no meaning: prices that it would adjust are NULL. A
+    price without a key is not adjusted, an action without one adjusts nothing.
     """
     if actions is None:
         return prices.withColumn(name, F.col(price))
     per_day = (
-        actions.filter(F.col(factor).isNotNull())
+        actions.filter(F.col(factor).isNotNull() & F.col(key).isNotNull())
         .groupBy(F.col(key), F.col(action_day).cast("date").alias(day))
-        .agg(F.product(factor).alias("_factor"))
+        .agg(
+            F.product(F.when(F.col(factor) > 0, F.col(factor))).alias("_factor"),
+            F.bool_or(F.col(factor) <= 0).alias("_bad"),
+        )
         .withColumn("_is_price", F.lit(0))
     )
-    stacked = prices.withColumn("_is_price", F.lit(1)).unionByName(
-        per_day, allowMissingColumns=True
+    keyless = prices.filter(F.col(key).isNull()).withColumn(name, F.col(price))
+    stacked = (
+        prices.filter(F.col(key).isNotNull())
+        .withColumn("_is_price", F.lit(1))
+        .unionByName(per_day, allowMissingColumns=True)
     )
     # newest first; on one date the price comes before the action, so that the action
     # leaves the price of its own day alone
@@ -41,12 +50,14 @@ def back_adjust(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     later = F.product(F.coalesce("_factor", F.lit(1.0))).over(back)
-    return (
-        stacked.withColumn("_later", later)
+    bad = F.coalesce(F.bool_or("_bad").over(back), F.lit(False))
+    adjusted = (
+        stacked.withColumns({"_later": later, "_bad_later": bad})
         .filter("_is_price = 1")
-        .withColumn(name, F.col(price) / F.col("_later"))
-        .drop("_later", "_factor", "_is_price")
+        .withColumn(name, F.when(~F.col("_bad_later"), F.col(price) / F.col("_later")))
+        .drop("_later", "_factor", "_bad", "_bad_later", "_is_price")
     )
+    return adjusted.unionByName(keyless)
 
 
 def back_adjust_as_known(
@@ -66,7 +77,8 @@ def back_adjust_as_known(
     An action touches exactly the dates from its announcement (less ``lag_days``) up to
     the day before it takes effect. Its factor is switched on at the start of that
     interval and off at the end, and a running product of the switches gives each
-    price its factor: again one window and no range join.
+    price its factor: again one window and no range join. Factors that are not positive
+    and missing keys count as in ``back_adjust``.
     """
     known = F.to_date(announced)
     # a time of day after midnight is known only from the next date on
@@ -75,9 +87,12 @@ def back_adjust_as_known(
         .otherwise(known),
         lag_days,
     )
-    effective = actions.filter(F.col(factor).isNotNull()).select(
+    effective = actions.filter(F.col(factor).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key),
-        F.col(factor).alias("_f"),
+        F.when(F.col(factor) > 0, F.ln(F.when(F.col(factor) > 0, F.col(factor))))
+        .otherwise(0.0)
+        .alias("_l"),
+        F.when(F.col(factor) > 0, 0).otherwise(1).alias("_b"),
         first_day.alias("_from"),
         F.col(action_day).cast("date").alias("_to"),
     ).filter("_from < _to")
@@ -85,16 +100,21 @@ def back_adjust_as_known(
         key,
         F.inline(
             F.array(
-                F.struct(F.col("_from").alias(day), F.ln("_f").alias("_log")),
-                F.struct(F.col("_to").alias(day), (-F.ln("_f")).alias("_log")),
+                F.struct(F.col("_from").alias(day), F.col("_l").alias("_log"), F.col("_b").alias("_bad")),
+                F.struct(F.col("_to").alias(day), (-F.col("_l")).alias("_log"), (-F.col("_b")).alias("_bad")),
             )
         ),
     )
     per_day = (
-        switches.groupBy(key, day).agg(F.sum("_log").alias("_log")).withColumn("_is_price", F.lit(0))
+        switches.groupBy(key, day)
+        .agg(F.sum("_log").alias("_log"), F.sum("_bad").alias("_bad"))
+        .withColumn("_is_price", F.lit(0))
     )
-    stacked = prices.withColumn("_is_price", F.lit(1)).unionByName(
-        per_day, allowMissingColumns=True
+    keyless = prices.filter(F.col(key).isNull()).withColumn(name, F.col(price))
+    stacked = (
+        prices.filter(F.col(key).isNotNull())
+        .withColumn("_is_price", F.lit(1))
+        .unionByName(per_day, allowMissingColumns=True)
     )
     # oldest first; on one date the switches come before the price
     forward = (
@@ -104,9 +124,11 @@ def back_adjust_as_known(
     )
     # rounding takes away what floating point leaves behind when a factor is switched off
     active = F.exp(F.round(F.sum(F.coalesce("_log", F.lit(0.0))).over(forward), 13))
-    return (
-        stacked.withColumn("_active", active)
+    bad = F.sum(F.coalesce("_bad", F.lit(0))).over(forward)
+    adjusted = (
+        stacked.withColumns({"_active": active, "_bad_now": bad})
         .filter("_is_price = 1")
-        .withColumn(name, F.col(price) / F.col("_active"))
-        .drop("_active", "_log", "_is_price")
+        .withColumn(name, F.when(F.col("_bad_now") == 0, F.col(price) / F.col("_active")))
+        .drop("_active", "_log", "_bad", "_bad_now", "_is_price")
     )
+    return adjusted.unionByName(keyless)

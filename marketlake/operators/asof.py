@@ -22,8 +22,13 @@ def asof_join(
     Equal times are settled by the greatest ``tie``. Time is cut into slices and the
     rows are shuffled on (key, slice), so a hot key spreads over its slices. The newest
     right row of each slice, one row, is carried into the following slices through a
-    window over slice summaries only: the number of slices bounds its groups.
+    window over slice summaries only: the number of slices bounds its groups. A left row
+    without a key or a time has no match; right rows without one match nothing.
     """
+    names = left.columns
+    matchable = F.col(key).isNotNull() & F.col(left_time).isNotNull()
+    apart, left = left.filter(~matchable), left.filter(matchable)
+    right = right.filter(F.col(key).isNotNull())
     payload = F.struct(
         F.col(right_time).alias("_rt"),
         F.col(tie).alias("_tie"),
@@ -78,8 +83,9 @@ def asof_join(
     if max_age_seconds is not None:
         age = F.unix_timestamp(F.col("_at")) - F.unix_timestamp(F.col("_found._rt").cast("timestamp"))
         found = found.withColumn("_found", F.when(age <= max_age_seconds, F.col("_found")))
-    return found.select(
-        *[F.col(c) for c in left.columns],
+    matched = found.select(
+        *[F.col(c) for c in names],
         F.col("_found._rt").alias(f"matched_{right_time}"),
         *[F.col(f"_found.{c}").alias(c) for c in columns],
     )
+    return matched.unionByName(apart, allowMissingColumns=True)

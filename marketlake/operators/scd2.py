@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.operators.shape import null_safe_change
+from marketlake.operators.shape import dedup_latest, null_safe_change
 
 CONTROL_COLUMNS = ["valid_from_ts", "valid_to_ts", "is_current"]
 
@@ -46,38 +46,33 @@ def scd2_merge(
     opened, keys absent from the load stay as they are, and a load without changes
     gives back the same rows. A tracked column that the history lacks counts as NULL.
 
-    The load is joined to the history once; both results, closed and opened versions,
-    come from that join. ``effective_ts`` is an argument, so a rerun gives the same table.
+    A key listed several times counts once, by the greatest of its rows. Closed versions
+    pass by; open ones and the load are joined once, and each pair gives the one or two
+    versions that follow from it. ``effective_ts`` is an argument, so a rerun gives the
+    same table.
     """
+    load = dedup_latest(incoming.filter(F.col(key).isNotNull()).select(key, *tracked), [key], [])
     if history is None:
-        return as_versions(incoming, key, tracked, effective_ts, surrogate)
+        return as_versions(load, key, tracked, effective_ts, surrogate)
     types = {f.name: f.dataType for f in incoming.schema.fields}
     absent = {c: F.lit(None).cast(types[c]) for c in tracked if c not in history.columns}
     history = history.withColumns(absent) if absent else history
+    columns = [surrogate, key, *tracked, *CONTROL_COLUMNS]
 
-    load = incoming.select(key, *tracked).withColumn("_present", F.lit(True))
-    matched = history.alias("old").join(
-        load.alias("new"), F.col(f"old.{key}") == F.col(f"new.{key}"), "left"
+    now = F.col("is_current")
+    stored = history.filter(now).select(F.struct(*columns).alias("old"), F.col(key).alias("_old_key"))
+    opened = as_versions(load, key, tracked, effective_ts, surrogate)
+    fresh = opened.select(F.struct(*columns).alias("new"), F.col(key).alias("_new_key"))
+    pairs = stored.join(fresh, F.col("_old_key") == F.col("_new_key"), "full")
+    old, new = F.col("old"), F.col("new")
+    changed = null_safe_change("old", "new", tracked)
+    closing = {"valid_to_ts": _effective(effective_ts), "is_current": F.lit(False)}
+    closed = F.struct(*[closing.get(c, old[c]).alias(c) for c in columns])
+    versions = (
+        F.when(old.isNull(), F.array(new))
+        .when(new.isNull() | ~changed, F.array(old))
+        .otherwise(F.array(closed, new))
     )
-    superseded = F.coalesce(
-        F.col("old.is_current")
-        & F.col("new._present")
-        & null_safe_change("old", "new", tracked),
-        F.lit(False),
-    )
-    closed = matched.select(
-        F.col(f"old.{surrogate}"),
-        F.col(f"old.{key}"),
-        *[F.col(f"old.{c}") for c in tracked],
-        F.col("old.valid_from_ts"),
-        F.when(superseded, _effective(effective_ts))
-        .otherwise(F.col("old.valid_to_ts"))
-        .alias("valid_to_ts"),
-        (F.col("old.is_current") & ~superseded).alias("is_current"),
-    )
-    # open versions that the load leaves as they are; everything else in the load is a new version
-    unchanged = closed.filter("is_current").select(key)
-    opened = as_versions(
-        load.join(unchanged, key, "left_anti"), key, tracked, effective_ts, surrogate
-    )
-    return closed.unionByName(opened)
+    current = pairs.select(F.inline(versions))
+    past = history.filter(~F.coalesce(now, F.lit(False))).select(*columns)
+    return past.unionByName(current)

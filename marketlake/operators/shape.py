@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def harmonise(frames: list[DataFrame], planned: dict[str, str] | None = None) -> DataFrame:
@@ -34,6 +35,19 @@ def split_versions(
     }
 
 
+def _settled(df: DataFrame, keys: list[str], order: list[Column], named: list[str]) -> DataFrame:
+    """First row per key in the given order; what it leaves open is settled by all other
+    columns, greatest first, so the result never depends on the order of rows.
+    """
+    open_ = [
+        F.col(f.name).desc_nulls_last()
+        for f in sorted(df.schema.fields, key=lambda f: f.name)
+        if f.name not in {*keys, *named} and not isinstance(f.dataType, (MapType, VariantType))
+    ]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *open_))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
 def dedup_latest(
     df: DataFrame, keys: list[str], latest: list[str], tie_break: list[str] | None = None
 ) -> DataFrame:
@@ -42,16 +56,13 @@ def dedup_latest(
     The rank filter is pushed below the shuffle, so each map task sends at most one
     row per key however many copies a key has.
     """
-    order = [F.col(c).desc_nulls_last() for c in latest + (tie_break or [])]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    named = latest + (tie_break or [])
+    return _settled(df, keys, [F.col(c).desc_nulls_last() for c in named], named)
 
 
 def dedup_first(df: DataFrame, keys: list[str], earliest: list[str]) -> DataFrame:
     """One row per key: the one with the smallest ``earliest`` columns."""
-    order = [F.col(c).asc_nulls_last() for c in earliest]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return _settled(df, keys, [F.col(c).asc_nulls_last() for c in earliest], earliest)
 
 
 def dedup_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,7 +144,16 @@ def null_safe_change(old: str, new: str, columns: list[str]) -> Column:
     return ~reduce(lambda a, b: a & b, same)
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows without a change plus all changes; changed keys are replaced."""
-    kept = target.join(changes.select(*keys), keys, "left_anti").select(*target.columns)
-    return kept.unionByName(changes, allowMissingColumns=True)
+def upsert(
+    target: DataFrame, changes: DataFrame, keys: list[str], latest: list[str] | None = None
+) -> DataFrame:
+    """Target rows without a change plus the changes; changed keys are replaced.
+
+    Of several changes to a key the one with the greatest ``latest`` columns counts. Keys
+    are compared null-safe, so a NULL key is a key like any other.
+    """
+    newest = dedup_latest(changes, keys, latest or [])
+    named = newest.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = target.join(named, same, "left_anti")
+    return kept.unionByName(newest, allowMissingColumns=True)

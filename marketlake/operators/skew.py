@@ -85,31 +85,24 @@ def amplify(df: DataFrame, is_hot: Column, key: str, hot_name: str, scale: int,
     )
 
 
-def rescale_share(
-    df: DataFrame, in_group: Column, measure: str, share: float, dependent: str, unit: str
-) -> DataFrame:
-    """Give a group a fixed share of the total of ``measure`` and recompute ``dependent``.
+def to_target_share(df: DataFrame, group: str, measure: str, percent: dict) -> DataFrame:
+    """Scale a whole-number measure so that each group has its share of the unchanged total.
 
-    Rows keep their proportions inside and outside the group; results are truncated to
-    whole numbers. ``dependent`` becomes ``unit`` times the new measure where it is set.
-    The totals are one row, read as scalar subqueries.
+    ``percent`` gives the shares in whole percents. A small table of group sums gives every
+    group its ratio; rows keep their proportions and are cut to whole numbers, exactly.
+    Groups without a share, and groups that sum to zero, stay as they are.
     """
-    inside = F.sum(F.when(in_group, F.col(measure)).otherwise(0))
-    totals = df.agg(
-        inside.alias("inside"),
-        (F.sum(measure) - inside).alias("outside"),
-        F.sum(measure).alias("total"),
+    sums = df.groupBy(group).agg(F.sum(measure).alias("_sum"))
+    total = sums.agg(F.sum("_sum")).scalar()
+    share = F.coalesce(*[F.when(F.col(group) == value, F.lit(p)) for value, p in percent.items()])
+    ratios = sums.filter("_sum <> 0").select(
+        F.col(group).alias("_group"),
+        (total * share).cast("decimal(19,0)").alias("_part"),
+        (F.col("_sum") * 100).cast("decimal(19,0)").alias("_whole"),
     )
-    total = totals.select("total").scalar()
-
-    def part(side: str, fraction: float) -> Column:
-        current = totals.select(
-            F.when(F.col(side) == 0, F.lit(1)).otherwise(F.col(side)).alias(side)
-        ).scalar()
-        return F.col(measure) / current * (total * F.lit(fraction))
-
-    rescaled = F.when(in_group, part("inside", share)).otherwise(part("outside", 1 - share))
-    return df.withColumn(measure, rescaled.cast("long")).withColumn(
-        dependent,
-        F.when(F.col(dependent).isNotNull(), F.col(unit) * F.col(measure)),
+    scaled = F.expr(f"(CAST({measure} AS DECIMAL(19,0)) * _part) div _whole")
+    return (
+        df.join(ratios, F.col(group).eqNullSafe(F.col("_group")), "left")
+        .withColumn(measure, F.coalesce(scaled, F.col(measure)))
+        .drop("_group", "_part", "_whole")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlake import storage
+
 # Downstream dataset and the datasets it is built from.
 EDGES = {
     "raw_ohlcv_daily": ["landing/ohlcv_daily"],
@@ -27,30 +27,36 @@ def edge_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "node string, upstream string")
 
 
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (node, upstream) pairs with their smallest distance.
 
-    Each round extends the newest paths by one edge. A graph deeper than ``max_depth``,
-    or a cycle, is an error and never cut short. The emptiness test runs one small job
-    per level; lineage graphs have few levels.
+    Paths are joined end to end, so their length doubles every round and a graph of any
+    depth takes few rounds. Every round is stored and starts from the one before. It ends
+    when no pair is new; a cycle is an error.
     """
-    step = edges.select(F.col("node").alias("upstream"), F.col("upstream").alias("_next"))
-    level = edges.select("node", "upstream", F.lit(1).alias("depth")).distinct()
-    levels = [level]
-    while True:
-        following = (
-            level.join(step, "upstream")
-            .select("node", F.col("_next").alias("upstream"), (F.col("depth") + 1).alias("depth"))
-            .distinct()
+    spark = edges.sparkSession
+    root = storage.work_dir(spark, "lineage")
+
+    def stored(df: DataFrame, number: int) -> DataFrame:
+        storage.write_snapshot(df, f"{root}/{number}")
+        return storage.read_table(spark, f"{root}/{number}")
+
+    paths = stored(edges.select("node", "upstream", F.lit(1).alias("depth")).distinct(), 0)
+    pairs, known = paths.count(), -1
+    number = 0
+    while pairs != known:
+        if not paths.filter("node = upstream").isEmpty():
+            raise ValueError("cyclic lineage")
+        ahead = paths.select(
+            F.col("node").alias("upstream"), F.col("upstream").alias("_far"), F.col("depth").alias("_more")
+        )
+        longer = paths.join(ahead, "upstream").select(
+            "node", F.col("_far").alias("upstream"), (F.col("depth") + F.col("_more")).alias("depth")
+        )
+        number += 1
+        paths = stored(
+            paths.unionByName(longer).groupBy("node", "upstream").agg(F.min("depth").alias("depth")),
+            number,
         )
-        if following.isEmpty():
-            break
-        if len(levels) >= max_depth:
-            raise ValueError(f"lineage deeper than {max_depth} levels or cyclic")
-        levels.append(following)
-        level = following
-    return (
-        reduce(DataFrame.unionByName, levels)
-        .groupBy("node", "upstream")
-        .agg(F.min("depth").alias("depth"))
-    )
+        pairs, known = paths.count(), pairs
+    return paths

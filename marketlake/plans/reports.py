@@ -1,47 +1,45 @@
-"""Reports in SQL over named frames."""
+"""Reports over frames, and stored tables made known to SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlake import storage
+from marketlake.functions.columns import half_up
 
-TOP_VOLUME = """
-SELECT ticker_id, round(avg(volume), 0) AS avg_volume, round(avg(close), 2) AS avg_close
-FROM {prices}
-WHERE trade_date >= DATE '{since}'
-GROUP BY ticker_id
-ORDER BY avg_volume DESC, ticker_id
-LIMIT {k}
-"""
-
-FEDERATED_DAY = """
-SELECT p.ticker_id, t.company_name, t.exchange, t.icb_l1, p.trade_date, p.close, p.volume
-FROM {prices} p JOIN {tickers} t ON p.ticker_id = t.ticker_id
-WHERE p.trade_date = DATE '{day}' AND t.is_active
-ORDER BY p.volume DESC, p.ticker_id
-LIMIT {k}
-"""
-
-SECTOR_PERFORMANCE = """
-SELECT t.icb_l1,
-       count(DISTINCT p.ticker_id) AS ticker_count,
-       round(avg((p.close - p.open) / p.open * 100), 2) AS avg_daily_return_pct,
-       sum(p.volume) AS total_volume
-FROM {prices} p JOIN {tickers} t ON p.ticker_id = t.ticker_id
-WHERE p.trade_date = DATE '{day}'
-GROUP BY t.icb_l1
-ORDER BY total_volume DESC
-"""
-
-TOP_MOVERS = """
-SELECT ticker, company_name, exchange, icb_l1, trade_date, close, pct_change_1d,
-       pct_change_5d, volume_vs_ma20_ratio, price_limit_hit_flag
-FROM {obt}
-WHERE trade_date = DATE '{day}' AND is_vn30
-ORDER BY pct_change_1d DESC NULLS LAST, ticker
-LIMIT {k}
-"""
+
+def top_k(df: DataFrame, k: int, greatest: str, key: str) -> DataFrame:
+    """The ``k`` rows with the greatest value; equal ones by ``key``, NULLs last."""
+    return df.orderBy(F.col(greatest).desc_nulls_last(), key).limit(k)
+
+
+def day_view(df: DataFrame, day: str, column: str = "trade_date") -> DataFrame:
+    """Rows of one date; on a table stored by date, its folder alone is read."""
+    return df.filter(F.col(column) == F.lit(day).cast("date"))
+
+
+def leaders_by_mean(
+    df: DataFrame, key: str, means: dict[str, tuple[str, int]], k: int, since: str, day: str = "trade_date"
+) -> DataFrame:
+    """Top ``k`` keys by their first mean from a date on.
+
+    ``means`` gives each result column its measure and number of decimals.
+    """
+    recent = df.filter(F.col(day) >= F.lit(since).cast("date"))
+    found = recent.groupBy(key).agg(
+        *[half_up(F.avg(measure), digits).alias(name) for name, (measure, digits) in means.items()]
+    )
+    return top_k(found, k, next(iter(means)), key)
+
+
+def with_attributes(df: DataFrame, attributes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Add columns of a dimension; the planner decides how to join by their sizes."""
+    return df.join(attributes.select(key, *columns), key)
+
+
+def rollup_by(df: DataFrame, by: str, measures: dict[str, Column]) -> DataFrame:
+    return df.groupBy(by).agg(*[measure.alias(name) for name, measure in measures.items()])
 
 
 def register_tables(spark: SparkSession, root: str, names: list[str]) -> list[str]:
@@ -59,10 +57,3 @@ def list_tables(spark: SparkSession) -> list[str]:
 def describe(spark: SparkSession, name: str) -> DataFrame:
     """Columns and types of a registered table."""
     return spark.sql("DESCRIBE IDENTIFIER(:name)", args={"name": name})
-
-
-def run_report(spark: SparkSession, text: str, frames: dict[str, DataFrame], **values) -> DataFrame:
-    """Run a report with its named frames and literal values filled in."""
-    for name, value in values.items():
-        text = text.replace("{" + name + "}", str(value))
-    return spark.sql(text, **frames)

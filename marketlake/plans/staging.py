@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +45,26 @@ RAW_TABLES = {
 }
 
 
-def ingest_landing(spark: SparkSession, landing: str, root: str, batch_id: str) -> dict[str, str]:
-    """Bring every landed table into its raw table; absent ones are skipped.
+def with_version(prices: DataFrame) -> DataFrame:
+    """Every row with its schema version; one that landed without is told by its columns.
+
+    Only version 2 fills the later columns, so a row with none of them is version 1.
+    """
+    later = [F.col(c).isNotNull() for c in LATER_COLUMNS if c in prices.columns]
+    told = F.when(reduce(or_, later, F.lit(False)), F.lit(2)).otherwise(F.lit(1))
+    if "_schema_version" in prices.columns:
+        told = F.coalesce(F.col("_schema_version").cast("int"), told)
+    return prices.withColumn("_schema_version", told)
+
+
+def ingest_landing(
+    spark: SparkSession, landing: str, root: str, batch_id: str, run_date: str | None = None
+) -> dict[str, str]:
+    """Bring every landed table, or that of one run date, into its raw table.
 
-    Prices become one table per schema version, each checked against its contract before
-    anything of it is written. Columns that only the other version has do not count.
+    Absent tables are skipped. Prices become one table per schema version, each checked
+    against its contract before anything of it is written; columns that only the other
+    version has do not count. A version without a contract is an error.
     """
     paths: dict[str, str] = {}
 
@@ -55,23 +73,25 @@ def ingest_landing(spark: SparkSession, landing: str, root: str, batch_id: str)
         storage.write_snapshot(df, paths[name])
 
     try:
-        prices = scan_landing(spark, landing, "ohlcv_daily").drop("run_date")
+        prices = scan_landing(spark, landing, "ohlcv_daily", run_date=run_date).drop("run_date")
     except FileNotFoundError:
         prices = None
     if prices is not None:
-        present = {
-            row[0] for row in prices.select(F.col("_schema_version").cast("int")).distinct().collect()
-        }
-        for contract in (RAW_OHLCV_V1, RAW_OHLCV_V2):
-            if contract.version in present:
-                rows = prices.filter(F.col("_schema_version") == contract.version)
-                store(
-                    f"raw_ohlcv_daily_v{contract.version}",
-                    ingest(rows, batch_id, contract, contract.version),
-                )
+        prices = with_version(prices)
+        known = {contract.version: contract for contract in (RAW_OHLCV_V1, RAW_OHLCV_V2)}
+        # one small number a version, whatever the rows
+        present = {row[0] for row in prices.select("_schema_version").distinct().collect()}
+        unknown = sorted(present - set(known))
+        if unknown:
+            raise ValueError(f"no contract for schema versions {unknown} of ohlcv_daily")
+        for version in sorted(present):
+            rows = prices.filter(F.col("_schema_version") == version)
+            store(
+                f"raw_ohlcv_daily_v{version}", ingest(rows, batch_id, known[version], version)
+            )
     for table, name in RAW_TABLES.items():
         try:
-            df = scan_landing(spark, landing, table).drop("run_date")
+            df = scan_landing(spark, landing, table, run_date=run_date).drop("run_date")
         except FileNotFoundError:
             continue
         store(name, ingest(df, batch_id))

@@ -19,23 +19,6 @@ SESSION_DEFAULTS = {
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
-# The two profiles used to compare a plain plan with an adaptive one.
-WORKLOAD_PROFILES = {
-    "baseline": {
-        "spark.sql.adaptive.enabled": "false",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-    },
-    "optimized": {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256KB",
-        "spark.sql.autoBroadcastJoinThreshold": "50MB",
-    },
-}
-
 
 def build_session(app: str = "marketlake", overrides: dict[str, str] | None = None) -> SparkSession:
     """Return a session with the shared settings; the master comes from the launcher."""

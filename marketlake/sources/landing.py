@@ -2,54 +2,67 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.storage import glob_paths, swap_in, work_dir
+from marketlake.storage import glob_paths, swap_in
 
 # The partition columns of a versioned drop.
 PARTITIONS = {"schema_version": "int", "trade_date": "date"}
+RUN_DATE = re.compile("run_date=([^/]+)/")
 
 
 def scan_landing(
-    spark: SparkSession, root: str, table: str, partitions: dict[str, str] | None = None
+    spark: SparkSession,
+    root: str,
+    table: str,
+    partitions: dict[str, str] | None = None,
+    run_date: str | None = None,
 ) -> DataFrame:
-    """Read every drop of a table over all run dates, schema versions merged.
+    """Read the drops of a table over all run dates, or of one, schema versions merged.
 
-    A single partitioned drop is read with its partition columns, so filters on them prune
-    folders. Several drops, which may be flat or partitioned, are one recursive scan whose
-    partition values come from the file paths; ``partitions`` names them and their types.
-    ``run_date`` always comes from the path.
+    Each partitioned drop is read with its folders as partition columns, so filters on
+    these prune folders, and a filter on ``run_date`` takes whole drops out of the plan.
+    Flat drops are one more branch of the union. The argument ``run_date`` keeps other
+    drops out of the listing: a daily run names its own. ``partitions`` gives the types of
+    partition columns.
     """
     partitions = PARTITIONS if partitions is None else partitions
-    roots = glob_paths(spark, f"{root}/run_date=*/{table}")
+    roots = glob_paths(spark, f"{root}/run_date={run_date or '*'}/{table}")
     nested = [r for r in roots if glob_paths(spark, f"{r}/*=*")]
-    if not nested and not any(glob_paths(spark, f"{r}/*.parquet") for r in roots):
+    flat = [r for r in roots if glob_paths(spark, f"{r}/*.parquet")]
+    if not nested and not flat:
         raise FileNotFoundError(f"no Parquet files under {root}/run_date=*/{table}")
-    reader = spark.read.option("mergeSchema", True)
-    path = F.col("_metadata.file_path")
-    run_date = F.regexp_extract(path, r"run_date=([^/]+)/", 1).alias("run_date")
-    if len(roots) == 1:
-        df = reader.parquet(*roots).select("*", run_date)
-    else:
-        df = reader.option("recursiveFileLookup", True).parquet(*roots)
-        found = {}
-        for name, kind in partitions.items():
-            value = F.nullif(F.regexp_extract(path, f"/{name}=([^/]+)/", 1), F.lit(""))
-            stored = [F.col(name)] if name in df.columns else []
-            found[name] = F.coalesce(*stored, value.cast(kind)).alias(name)
-        others = [c for c in df.columns if c not in found]
-        df = df.select(*others, *found.values(), run_date)
+    # a drop with folders of its own is a table of its own; flat drops are read together
+    branches = []
+    for drop in nested:
+        rows = spark.read.option("mergeSchema", True).option("basePath", drop).parquet(drop)
+        branches.append(rows.withColumn("run_date", F.lit(RUN_DATE.search(drop)[1])))
+    if plain := [r for r in flat if r not in nested]:
+        rows = spark.read.option("mergeSchema", True).parquet(*plain)
+        found = F.regexp_extract(F.col("_metadata.file_path"), RUN_DATE.pattern, 1)
+        branches.append(rows.withColumn("run_date", found))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+    # folder names are read as text, whole numbers or dates, as they look
+    have = dict(df.dtypes)
+    typed = {c: F.col(c).cast(k) for c, k in partitions.items() if have.get(c, k) != k}
+    df = df.withColumns(typed) if typed else df
     if "schema_version" in df.columns and "_schema_version" not in df.columns:
         df = df.withColumnRenamed("schema_version", "_schema_version")
     return df
 
 
 def _land(df: DataFrame, root: str, run_date: str, table: str, write) -> None:
+    """Stage beside the target, so that the last step is a rename on one file system."""
     spark = df.sparkSession
-    staged = work_dir(spark, "landing")
-    write(f"{staged}/{table}")
-    swap_in(spark, f"{staged}/{table}", f"{root}/run_date={run_date}/{table}")
+    target = f"{root}/run_date={run_date}/{table}"
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    write(staged)
+    swap_in(spark, staged, target)
 
 
 def write_landing(df: DataFrame, root: str, run_date: str, table: str) -> None:
@@ -63,25 +76,25 @@ def write_versioned_landing(
     run_date: str,
     table: str,
     version: str = "_schema_version",
-    day: str = "trade_date",
+    day: str | None = "trade_date",
 ) -> None:
     """Write a drop with one physical schema per version, partitioned by version and date.
 
-    The whole drop is replaced, so files of an earlier flat layout cannot linger.
+    The whole drop is replaced, so files of an earlier flat layout cannot linger. Without
+    ``day`` the version alone makes folders.
     """
     for v, df in versions.items():
-        absent = {version, day} - set(df.columns)
+        absent = {version, *([day] if day else [])} - set(df.columns)
         if absent:
             raise ValueError(f"version {v} lacks the partition columns {sorted(absent)}")
 
     def write(path: str) -> None:
         for v, df in versions.items():
-            (
-                df.drop(version)
-                .hint("rebalance", day)
-                .write.partitionBy(day)
-                .parquet(f"{path}/schema_version={v}")
-            )
+            rows, target = df.drop(version), f"{path}/schema_version={v}"
+            if day:
+                rows.hint("rebalance", day).write.partitionBy(day).parquet(target)
+            else:
+                rows.write.parquet(target)
 
     _land(next(iter(versions.values())), root, run_date, table, write)
 

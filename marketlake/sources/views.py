@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.functions.columns import action_factor, is_weekend
+from marketlake.functions.columns import action_factor
 from marketlake.operators.shape import tag_version
 from marketlake.plans.dimensions import static_dimension
 
@@ -33,8 +33,11 @@ class Tables:
 
     # --- prices ---------------------------------------------------------------------
 
-    def all_ticks(self) -> DataFrame:
-        """Every line item as a trade print. ``trade_seq`` orders prints within a day."""
+    def ticks(self) -> DataFrame:
+        """Every line item as a trade print, weekend dates included.
+
+        ``trade_seq`` orders prints within a day.
+        """
         return self.read("lineitem").select(
             F.col("l_suppkey").cast("string").alias("ticker_id"),
             F.col("l_shipdate").cast("date").alias("trade_date"),
@@ -50,10 +53,6 @@ class Tables:
             F.col("l_returnflag").alias("vendor"),
         )
 
-    def ticks(self) -> DataFrame:
-        """Prints on weekdays, the trading days of this market."""
-        return self.all_ticks().filter(~is_weekend("trade_date"))
-
     def bars_by_vendor(self) -> DataFrame:
         """A bar per ticker, date and vendor drop: one (ticker, date) may occur three times."""
         bars = self.ticks().groupBy("ticker_id", "trade_date", "vendor").agg(

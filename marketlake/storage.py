@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RUN_LOG_SCHEMA = (
     "run_id string, pipeline string, start_time string, end_time string, status string, "
@@ -22,13 +23,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder for intermediate tables and stream checkpoints.
 
     It sits in the shared folder named by ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder of this machine.
+    master may fall back to a temporary folder of this machine, removed at its end.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"spark-{label}-")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix=f"spark-{label}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
@@ -170,49 +174,20 @@ def file_stats(spark: SparkSession, path: str) -> tuple[int, int]:
     return files, size
 
 
-def _sort_number(column: str, data_type: T.DataType) -> Column:
-    """A double that follows the order of the column, for clustering only."""
-    c = F.col(column)
-    if isinstance(data_type, T.StringType):
-        # the first six bytes read as one number keep the order of the prefixes
-        return F.conv(F.hex(F.rpad(F.encode(c, "UTF-8"), 6, F.lit(b"\x00"))), 16, 10).cast("double")
-    if isinstance(data_type, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
-
-
-def _rank_bucket(value: Column, bounds: list[float]) -> Column:
-    """Position of a value among sorted bounds, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
-    middle = len(bounds) // 2
-    return F.when(
-        value <= bounds[middle], _rank_bucket(value, bounds[:middle])
-    ).otherwise(_rank_bucket(value, bounds[middle + 1 :]) + (middle + 1))
-
-
-def zorder_key(df: DataFrame, columns: list[str], bits: int = 5) -> Column:
-    """Interleave the bits of each column's quantile bucket.
-
-    The quantile bounds are ``2**bits - 1`` numbers a column, the only values that
-    come to the driver. They steer the layout and never the content.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    numbers = {c: _sort_number(c, types[c]) for c in columns}
-    steps = [i / 2**bits for i in range(1, 2**bits)]
-    bounds = df.agg(
-        *[F.percentile_approx(numbers[c], steps, 10000).alias(c) for c in columns]
-    ).first()
-    key = F.lit(0).cast("long")
-    for i, c in enumerate(columns):
-        distinct = sorted(set(bounds[c] or []))
-        bucket = F.coalesce(_rank_bucket(numbers[c], distinct), F.lit(0)).cast("long")
-        for bit in range(bits):
-            picked = F.shiftright(bucket, bit).bitwiseAND(F.lit(1).cast("long"))
-            key = key.bitwiseOR(F.shiftleft(picked, bit * len(columns) + i))
-    return key
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns that a stored table keeps as folders, outermost first."""
+    fs, current = _fs(spark, path)
+    found: list[str] = []
+    while True:
+        folders = [
+            s.getPath()
+            for s in fs.listStatus(current)
+            if s.isDirectory() and "=" in s.getPath().getName()
+        ]
+        if not folders:
+            return found
+        found.append(folders[0].getName().split("=", 1)[0])
+        current = folders[0]
 
 
 def compact(
@@ -220,30 +195,28 @@ def compact(
     path: str,
     target_mb: int = 256,
     cluster_by: list[str] | None = None,
-    partition_by: str | None = None,
 ) -> tuple[int, int] | None:
     """Rewrite a table in files of about ``target_mb``; return file counts before and after.
 
-    With ``cluster_by`` the rows are range-partitioned and sorted on a Z-order key, so
-    that file statistics skip on each of these columns. A missing table is left out.
+    Partition folders stay as they are. With ``cluster_by`` rows are range-partitioned and
+    sorted on these columns, so that file statistics skip on the first of them and, within
+    it, on the next. A missing table is left out.
     """
     if not path_exists(spark, path):
         return None
     files_before, size = file_stats(spark, path)
     parts = max(1, -(-size // (target_mb * 1024 * 1024)))
     df = spark.read.parquet(path)
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    folders = partition_columns(spark, path)
+    keys = folders + [c for c in cluster_by or [] if c not in folders]
     if cluster_by:
-        df = df.withColumn("_z", zorder_key(df, cluster_by))
-        keys = ([partition_by] if partition_by else []) + ["_z"]
-        df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_z")
-    elif partition_by:
-        df = df.hint("rebalance", partition_by)
+        df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    elif folders:
+        df = df.hint("rebalance", *folders)
     else:
         df = df.repartition(parts)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*folders) if folders else df.write
     writer.parquet(staged)
     swap_in(spark, staged, path)
     return files_before, file_stats(spark, path)[0]
@@ -263,7 +236,9 @@ UPKEEP_TABLES = {
 def maintain(
     spark: SparkSession, root: str, tables: dict[str, list[str]] | None = None, target_mb: int = 256
 ) -> dict[str, tuple[int, int] | None]:
-    """Compact and cluster each table under ``root``; absent ones give None."""
+    """Compact and cluster each table under ``root``, its partition folders kept; absent
+    ones give None.
+    """
     return {
         name: compact(spark, f"{root}/{name}", target_mb, columns)
         for name, columns in (tables or UPKEEP_TABLES).items()

@@ -13,6 +13,7 @@ from marketlake.functions.columns import arrival_delay_exceeds
 # Watermark delay and grace in seconds, and the columns of each route.
 WATERMARK_SECONDS = 60
 GRACE_SECONDS = 60
+EVENT_TYPES = ["trade", "quote", "index_update"]
 _HEAD = ["event_id", "event_ts", "created_ts_parsed", "session_type", "ticker", "exchange"]
 _TAIL = ["source_offset", "kafka_ts", "_ingested_at"]
 TRADE_COLUMNS = _HEAD + ["price", "quantity", "side", "trade_id"] + _TAIL + ["_late_flag"]
@@ -32,13 +33,18 @@ def flag_late(df: DataFrame, seconds: int = WATERMARK_SECONDS) -> DataFrame:
 def routes(flagged: DataFrame) -> dict[str, DataFrame]:
     """Trades and quotes on time, and the quarantine; index updates on time go nowhere.
 
-    Unusable rows are quarantined too, each with its reason.
+    Unusable rows, late ones and events of a type that no route takes are quarantined,
+    each with its reason.
     """
-    usable = F.col("reason").isNull()
-    on_time = flagged.filter(usable & ~F.col("_late_flag"))
-    held = flagged.filter(~usable | F.col("_late_flag")).withColumn(
-        "reason", F.coalesce("reason", F.lit("late_arrival"))
+    unknown = ~F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(False))
+    reason = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.coalesce("_late_flag", F.lit(False)), "late_arrival")
+        .when(unknown, "unknown_type")
     )
+    judged = flagged.withColumn("reason", reason)
+    on_time = judged.filter("reason IS NULL")
+    held = judged.filter("reason IS NOT NULL")
     return {
         "stg_trades": on_time.filter("event_type = 'trade'").select(*TRADE_COLUMNS),
         "stg_quotes": on_time.filter("event_type = 'quote'").select(*QUOTE_COLUMNS),

@@ -35,10 +35,12 @@ def tumbling_volume(trades: DataFrame, key: str = "ticker", ts: str = "event_ts"
     )
 
 
-def sliding_momentum(trades: DataFrame, key: str = "ticker", ts: str = "event_ts") -> DataFrame:
-    """Trade count, first and last price per key over 30 minutes, every minute."""
+def sliding_momentum(
+    trades: DataFrame, key: str = "ticker", ts: str = "event_ts", slide: str = SLIDE
+) -> DataFrame:
+    """Trade count, first and last price per key over 30 minutes, every minute or ``slide``."""
     return _bounded(
-        trades.groupBy(F.window(ts, SLIDING, SLIDE), key).agg(
+        trades.groupBy(F.window(ts, SLIDING, slide), key).agg(
             F.count(F.lit(1)).alias("f_stream_trade_count_30m"),
             F.min_by("price", ts).alias("first_price"),
             F.max_by("price", ts).alias("last_price"),
@@ -113,10 +115,13 @@ def assemble_features(
 def stream_features(
     trades: DataFrame, tickers: int = DEFAULT_TICKERS, key: str = "ticker", ts: str = "event_ts"
 ) -> DataFrame:
-    """Both windows over one trade stream, joined when they close."""
-    return assemble_features(
-        tumbling_volume(trades, key, ts), sliding_momentum(trades, key, ts), tickers, key
-    )
+    """Both windows over one trade stream, joined when they close.
+
+    Only sliding windows that end with a tumbling one can be joined, so they slide by its
+    length: one in five is computed and kept.
+    """
+    momentum = sliding_momentum(trades, key, ts, slide=TUMBLING)
+    return assemble_features(tumbling_volume(trades, key, ts), momentum, tickers, key)
 
 
 def session_activity(

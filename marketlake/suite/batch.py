@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake import contracts, storage
+from marketlake.functions.calendar import YEARLY
 from marketlake.functions.calendar import trading_calendar as calendar_of
 from marketlake.functions.columns import (
     date_key,
+    half_up,
     is_weekend,
     pct_change,
     price_limit,
@@ -34,19 +36,8 @@ def ntz(column: str, alias: str | None = None):
     return F.col(column).cast("timestamp_ntz").alias(alias or column)
 
 
-def fixed(value, digits: int = 4):
-    """Round in plain arithmetic, the form the SQL side uses too.
-
-    The offset is a little over one half: decimal halves are common among prices, and
-    the last bit of a double must not decide them.
-    """
-    value = F.col(value) if isinstance(value, str) else value
-    unit = float(10**digits)
-    return F.floor(value * unit + 0.5003) / F.lit(unit)
-
-
 def rounded(column: str, digits: int = 4):
-    return fixed(column, digits).alias(column)
+    return half_up(column, digits).alias(column)
 
 
 # --- contracts and shape ---------------------------------------------------------------
@@ -69,7 +60,7 @@ def dedup_latest(m: Market) -> DataFrame:
 @query
 def dedup_stats(m: Market) -> DataFrame:
     return shape.dedup_stats(m.tables.raw_bars(), GRAIN).withColumn(
-        "removed_pct", fixed("removed_pct", 6)
+        "removed_pct", half_up("removed_pct", 6)
     )
 
 
@@ -394,7 +385,7 @@ def label_future(m: Market) -> DataFrame:
 @query
 def label_balance(m: Market) -> DataFrame:
     return gates.label_balance(m.labels, "label").withColumn(
-        "positive_pct", fixed("positive_pct", 6)
+        "positive_pct", half_up("positive_pct", 6)
     )
 
 
@@ -427,12 +418,12 @@ def psi(m: Market) -> DataFrame:
         values.filter("day >= DATE '1996-01-01'"),
         by="month",
         slices=8,
-    ).withColumn("psi", fixed("psi", 6))
+    ).withColumn("psi", half_up("psi", 6))
 
 
 @query
 def feature_health(m: Market) -> DataFrame:
-    return m.health.withColumn("mean_value", fixed("mean_value", 4))
+    return m.health.withColumn("mean_value", half_up("mean_value", 4))
 
 
 @query
@@ -452,7 +443,7 @@ def quality_profile(m: Market) -> DataFrame:
     members = m.tickers.filter("vn30").select("ticker_id", F.lit(True).alias("_in"))
     bars = m.tables.raw_bars().join(members, "ticker_id", "left")
     return profile.bar_profile(bars, F.coalesce("_in", F.lit(False))).withColumn(
-        "value", fixed("value", 4)
+        "value", half_up("value", 4)
     )
 
 
@@ -460,7 +451,7 @@ def quality_profile(m: Market) -> DataFrame:
 def burst_profile(m: Market) -> DataFrame:
     parsed = parse_events(m.tables.raw_events())
     return profile.event_profile(parsed, "event_id", "event_ts", "created_ts_parsed").withColumn(
-        "value", fixed("value", 4)
+        "value", half_up("value", 4)
     )
 
 
@@ -482,7 +473,7 @@ def gate_uniqueness(m: Market) -> DataFrame:
 @query
 def gate_duplicates(m: Market) -> DataFrame:
     return gates.duplicates(m.tables.raw_bars(), GRAIN, "raw_ohlcv_daily").withColumn(
-        "rate_pct", fixed("rate_pct", 6)
+        "rate_pct", half_up("rate_pct", 6)
     )
 
 
@@ -509,8 +500,8 @@ def referential_missing_keys(m: Market) -> DataFrame:
 
 @query
 def gate_calendar(m: Market) -> DataFrame:
-    everything = m.tables.all_ticks()
-    calendar = calendar_of(everything, "trade_date", 3).select("calendar_date", "is_trading_day")
+    everything = m.tables.ticks()
+    calendar = calendar_of(everything, "trade_date", 3, yearly=YEARLY).select("calendar_date", "is_trading_day")
     last_day = everything.agg(F.max("trade_date")).scalar()
     calendar = calendar.filter(F.col("calendar_date") <= last_day)
     return gates.weekend_dates(everything, "trade_date", "lineitem").unionByName(
@@ -562,50 +553,54 @@ def gate_drift(m: Market) -> DataFrame:
 
 @query
 def top_volume(m: Market) -> DataFrame:
-    return reports.run_report(
-        m.spark, reports.TOP_VOLUME, {"prices": m.staged}, since="1999-06-01", k=10
-    )
+    means = {"avg_volume": ("volume", 0), "avg_close": ("close", 2)}
+    return reports.leaders_by_mean(m.staged, "ticker_id", means, 10, "1999-06-01")
 
 
 @query
 def federated_join(m: Market) -> DataFrame:
-    return reports.run_report(
-        m.spark,
-        reports.FEDERATED_DAY,
-        {"prices": m.staged, "tickers": m.tickers},
-        day=REPORT_DAY,
-        k=20,
-    )
+    listed = m.tickers.filter("is_active")
+    day = reports.day_view(m.staged, REPORT_DAY).select(*GRAIN, "close", "volume")
+    named = reports.with_attributes(day, listed, "ticker_id", ["company_name", "exchange", "icb_l1"])
+    return reports.top_k(named, 20, "volume", "ticker_id")
 
 
 @query
 def sector_performance(m: Market) -> DataFrame:
-    return reports.run_report(
-        m.spark,
-        reports.SECTOR_PERFORMANCE,
-        {"prices": m.staged, "tickers": m.tickers},
-        day=REPORT_DAY,
+    day = reports.day_view(m.staged, REPORT_DAY)
+    change = (F.col("close") - F.col("open")) / F.col("open") * 100
+    return reports.rollup_by(
+        reports.with_attributes(day, m.tickers, "ticker_id", ["icb_l1"]),
+        "icb_l1",
+        {
+            "ticker_count": F.count_distinct("ticker_id"),
+            "avg_daily_return_pct": half_up(F.avg(change), 2),
+            "total_volume": F.sum("volume"),
+        },
     )
 
 
 @query
 def top_movers(m: Market) -> DataFrame:
-    # prices are up to 20 trading days old in the frames of the report day
-    movers = reports.run_report(
-        m.spark, reports.TOP_MOVERS, {"obt": m.obt}, day=REPORT_DAY, k=10
-    )
-    return movers.withColumns(
-        {
-            c: fixed(c, 4)
-            for c in ("pct_change_1d", "pct_change_5d", "volume_vs_ma20_ratio")
-        }
+    shares = ["pct_change_1d", "pct_change_5d", "volume_vs_ma20_ratio"]
+    members = reports.day_view(m.obt, REPORT_DAY).filter("is_vn30")
+    best = reports.top_k(members, 10, "pct_change_1d", "ticker")
+    return best.select(
+        "ticker",
+        "company_name",
+        "exchange",
+        "icb_l1",
+        "trade_date",
+        "close",
+        *[rounded(c) for c in shares],
+        "price_limit_hit_flag",
     )
 
 
 @query
 def dimension_rollup(m: Market) -> DataFrame:
     dims = facts.current_rows(m.dim_ticker, "exchange", "icb_l1")
-    notional = fixed(F.col("close") * F.col("volume") * 100, 0).cast("long")
+    notional = half_up(F.col("close") * F.col("volume") * 100, 0).cast("long")
     return (
         m.staged.select("ticker_id", notional.alias("cents"))
         .join(dims, "ticker_id")
@@ -616,10 +611,12 @@ def dimension_rollup(m: Market) -> DataFrame:
 
 @query
 def share_rescale(m: Market) -> DataFrame:
+    """Volumes scaled so that index members have four fifths of the total."""
     members = m.tickers.select("ticker_id", "vn30")
     bars = m.staged.select(*GRAIN, "close", "volume", "value").join(members, "ticker_id")
-    rescaled = skew.rescale_share(bars, F.col("vn30"), "volume", 0.8, "value", "close")
-    return rescaled.select(*GRAIN, "vn30", "volume", rounded("value"))
+    scaled = skew.to_target_share(bars, "vn30", "volume", {True: 80, False: 20})
+    value = F.when(F.col("value").isNotNull(), half_up(F.col("close") * F.col("volume"), 4))
+    return scaled.select(*GRAIN, "vn30", "volume", value.alias("value"))
 
 
 @query
@@ -627,7 +624,7 @@ def trading_calendar(m: Market) -> DataFrame:
     """Settlement three sessions after each order date, with the orders that settle then."""
     orders = m.tables.read("orders").select(F.col("o_orderdate").cast("date").alias("day"))
     per_day = orders.groupBy("day").agg(F.count(F.lit(1)).alias("orders"))
-    calendar = calendar_of(orders, "day", 3)
+    calendar = calendar_of(orders, "day", 3, yearly=YEARLY)
     return (
         calendar.join(per_day, calendar.calendar_date == per_day.day, "inner")
         .select("calendar_date", "is_trading_day", "next_trading_day", "orders")
@@ -643,7 +640,7 @@ def next_trading_days(m: Market) -> DataFrame:
         .groupBy(F.col("o_orderdate").cast("date").alias("day"))
         .agg(F.count(F.lit(1)).alias("orders"))
     )
-    return following(days, "day", 3).select(
+    return following(days, "day", 3, yearly=YEARLY).select(
         "day", "orders", F.col("day_no").cast("int").alias("day_no"), "trading_day"
     )
 
@@ -691,7 +688,7 @@ def scalar_suite(m: Market) -> DataFrame:
         F.greatest("o_totalprice", F.lit(100000.0)).alias("at_least"),
         F.least("o_totalprice", F.lit(100000.0)).alias("at_most"),
         F.abs(F.lit(250000.0) - F.col("o_totalprice")).alias("distance"),
-        fixed(F.exp(F.ln("o_totalprice")), 4).alias("exp_log"),
+        half_up(F.exp(F.ln("o_totalprice")), 4).alias("exp_log"),
         F.pmod("o_custkey", F.lit(20)).alias("pmod20"),
         F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("none")).alias("status_or_none"),
         pct_change("o_totalprice", F.col("o_totalprice") - F.col("o_totalprice")).alias("guarded"),
@@ -728,6 +725,43 @@ def landing_scan(m: Market) -> DataFrame:
     )
 
 
+@query
+def ingest_layers(m: Market) -> DataFrame:
+    """Versioned and flat drops of two run dates, ingested into their raw tables."""
+    root = storage.work_dir(m.spark, "ingest")
+    versions = {v: df.drop("vendor", "_ingested_at") for v, df in m.raw_versions.items()}
+    landing.write_versioned_landing(versions, f"{root}/landing", "2002-01-01", "ohlcv_daily", day=None)
+    flat = m.tables.bars_by_vendor().filter("vendor = 'R'")
+    flat = flat.drop("vendor", "_ingested_at", "_schema_version")
+    landing.write_landing(flat, f"{root}/landing", "2002-01-02", "ohlcv_daily")
+    paths = staging.ingest_landing(m.spark, f"{root}/landing", f"{root}/raw", "b1")
+    layers = [
+        storage.read_table(m.spark, path).select(
+            F.lit(name).alias("layer"),
+            "_schema_version",
+            "volume",
+            (F.col("value") if name.endswith("v2") else F.lit(None).cast("double")).alias("value"),
+        )
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, layers).groupBy("layer", "_schema_version").agg(
+        F.count(F.lit(1)).alias("bars"),
+        F.sum("volume").alias("volume"),
+        F.count("value").alias("with_value"),
+    )
+
+
+@query
+def maintained_fact(m: Market) -> DataFrame:
+    """One month of a table stored by month, after a sweep that keeps its folders."""
+    root = storage.work_dir(m.spark, "maintained")
+    month = F.date_format("trade_date", "yyyyMM").cast("int").alias("trade_month")
+    fact = m.fact.select(*GRAIN, "close", "volume", month)
+    storage.write_snapshot(fact, f"{root}/fact_daily_price", "trade_month")
+    storage.maintain(m.spark, root, {"fact_daily_price": ["ticker_id"]})
+    return storage.read_table(m.spark, f"{root}/fact_daily_price").filter("trade_month = 199807")
+
+
 @query
 def partitioned_roundtrip(m: Market) -> DataFrame:
     path = storage.work_dir(m.spark, "partitioned") + "/fact"
@@ -837,7 +871,7 @@ def _amplified(m: Market) -> DataFrame:
     """Bars with all tickers of one exchange under one hot key, repeated eight times more."""
     dims = facts.current_rows(m.dim_ticker, "exchange")
     bars = m.staged.select(
-        *GRAIN, fixed(F.col("close") * F.col("volume") * 100, 0).cast("long").alias("cents")
+        *GRAIN, half_up(F.col("close") * F.col("volume") * 100, 0).cast("long").alias("cents")
     ).join(dims, "ticker_id")
     return skew.amplify(bars, F.col("exchange") == "HOSE", "ticker_id", "HOT", 1, 8)
 
@@ -872,7 +906,7 @@ def skew_join(m: Market) -> DataFrame:
         .withColumn("risk_weight", F.when(F.col("partition_key") == "HOT", 3).otherwise(2))
     )
     joined = skew.salted_join(
-        rows, weights, "partition_key", ["ticker_id", "trade_date", "copy_id"], hot_share=0.2
+        rows, weights, "partition_key", ["ticker_id", "trade_date", "copy_id"]
     )
     token = F.sha2(
         F.concat_ws("|", "ticker_id", F.col("trade_date").cast("string"), F.col("copy_id").cast("string")),

@@ -21,7 +21,7 @@ VIEWS: dict[str, str] = {
             CAST(round(l_tax * 100) AS BIGINT) AS room,
             l_linestatus AS direction, l_returnflag AS vendor
         FROM lineitem""",
-    "ticks": "SELECT * FROM all_ticks WHERE isodow(trade_date) < 6",
+    "ticks": "SELECT * FROM all_ticks",
     "vendor_bars": """
         SELECT ticker_id, trade_date, vendor,
             arg_min(price, trade_seq) AS "open", max(price) AS high, min(price) AS low,
@@ -233,12 +233,8 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _same_rounding(text: str) -> str:
-    """Spell ``round(x, d)`` out as plain arithmetic.
-
-    The engines break ties of decimal halves differently; both sides use this form, with
-    an offset a little over one half so that the last bit of a double decides nothing.
-    """
+def _half_up(text: str) -> str:
+    """Write ``round(x, d)`` as rounding of a decimal with ten places, halves up."""
     while (at := text.find("round(")) >= 0:
         depth, end, comma = 1, at + 6, None
         while depth:
@@ -248,8 +244,9 @@ def _same_rounding(text: str) -> str:
                 comma = end
             end += 1
         value = text[at + 6 : comma or end - 1]
-        unit = "1" + "0" * int(text[comma + 1 : end - 1]) if comma else "1"
-        text = f"{text[:at]}(floor(({value}) * {unit} + CAST(0.5003 AS DOUBLE)) / {unit}){text[end:]}"
+        digits = text[comma + 1 : end - 1].strip() if comma else "0"
+        exact = f"CAST(ROUND(TRY_CAST(({value}) AS DECIMAL(38, 10)), {digits}) AS DOUBLE)"
+        text = f"{text[:at]}{exact}{text[end:]}"
     return text
 
 
@@ -266,7 +263,7 @@ def with_views(body: str) -> str:
 
     visit(body)
     chain = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names if n in needed)
-    return _same_rounding(f"WITH {chain}\n{body}" if chain else body)
+    return _half_up(f"WITH {chain}\n{body}" if chain else body)
 
 
 SQL: dict[str, str] = {}
@@ -778,9 +775,8 @@ oracle(
     """SELECT ticker_id, trade_date, vn30, nv AS volume,
         CASE WHEN "value" IS NOT NULL THEN round("close" * nv, 4) END AS "value"
     FROM (SELECT s.ticker_id, trade_date, vn30, "close", "value",
-            CAST(trunc(volume / CAST(sum(volume) OVER (PARTITION BY vn30) AS DOUBLE)
-                * (CAST(sum(volume) OVER () AS DOUBLE)
-                    * CASE WHEN vn30 THEN CAST(0.8 AS DOUBLE) ELSE 1 - CAST(0.8 AS DOUBLE) END)) AS BIGINT) AS nv
+            CAST(CAST(volume AS HUGEINT) * CAST(sum(volume) OVER () AS HUGEINT) * CASE WHEN vn30 THEN 80 ELSE 20 END
+                // (CAST(sum(volume) OVER (PARTITION BY vn30) AS HUGEINT) * 100) AS BIGINT) AS nv
         FROM staged s JOIN tickers t ON t.ticker_id = s.ticker_id)""",
 )
 _OPEN_DAYS = f"""(SELECT d, row_number() OVER (ORDER BY d) AS n
@@ -843,6 +839,21 @@ oracle(
     FROM raw_bars WHERE vendor <> 'R' OR year(trade_date) = 1998
     QUALIFY row_number() OVER (PARTITION BY ticker_id, trade_date ORDER BY _ingested_at DESC) = 1""",
 )
+oracle(
+    "ingest_layers",
+    """SELECT 'raw_ohlcv_daily_v1' AS layer, 1 AS _schema_version, count(*) AS bars,
+        CAST(sum(volume) AS BIGINT) AS volume, CAST(0 AS BIGINT) AS with_value
+    FROM raw_bars WHERE _schema_version = 1
+    UNION ALL
+    SELECT 'raw_ohlcv_daily_v2', 2, count(*), CAST(sum(volume) AS BIGINT), count(turnover)
+    FROM (SELECT volume, turnover FROM vendor_bars WHERE _schema_version = 2
+        UNION ALL SELECT volume, turnover FROM vendor_bars WHERE vendor = 'R')""",
+)
+oracle(
+    "maintained_fact",
+    """SELECT ticker_id, trade_date, "close", volume, 199807 AS trade_month FROM staged
+    WHERE trade_date BETWEEN DATE '1998-07-01' AND DATE '1998-07-31'""",
+)
 oracle(
     "compaction",
     """SELECT count(*) AS rows, CAST(sum(volume) AS BIGINT) AS volume,

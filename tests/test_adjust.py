@@ -76,3 +76,21 @@ def test_only_announced_actions_count(frame):
     got = [r.adj_close for r in out.orderBy("d").collect()]
     assert got == pytest.approx([100, 100, 50, 100 / 3, 50, 100, 100])
     assert got[-1] == 100.0
+
+
+def test_bad_factors_and_missing_keys_in_both_variants(frame):
+    prices = frame(
+        "k string, d date, p double",
+        [("a", "2025-01-01", 10.0), ("a", "2025-01-05", 10.0), ("b", "2025-01-01", 10.0), (None, "2025-01-01", 10.0)],
+    )
+    actions = frame(
+        "k string, ex date, f double, known date",
+        [("a", "2025-01-03", 0.0, "2024-12-01"), ("b", "2025-01-03", 2.0, "2024-12-01"), (None, "2025-01-03", 5.0, "2024-12-01")],
+    )
+    one = back_adjust(prices, actions, "k", "d", "p", "ex", "f")
+    other = back_adjust_as_known(prices, actions, "k", "d", "p", "ex", "f", "known")
+    want = {("a", "2025-01-01"): None, ("a", "2025-01-05"): 10.0, ("b", "2025-01-01"): 5.0, (None, "2025-01-01"): 10.0}
+    for df in (one, other):
+        assert df.columns == ["k", "d", "p", "adj_close"]
+        got = {(r.k, str(r.d)): r.adj_close for r in df.collect()}
+        assert {k: v and round(v, 6) for k, v in got.items()} == want

@@ -61,3 +61,9 @@ def test_matches_brute_force_with_a_hot_key(frame, slice_seconds):
         want[i] = best[2] if best else None
     df = join(frame(LEFT, left), frame(RIGHT, right), slice_seconds=slice_seconds)
     assert {r.id: r.v for r in df.collect()} == want
+
+
+def test_missing_keys_match_nothing(frame):
+    left = frame(LEFT, [(1, None, "2025-01-02 00:00:00"), (2, "a", "2025-01-02 00:00:00"), (3, None, None)])
+    right = frame(RIGHT, [(None, "2025-01-01 00:00:00", "2025-01-01 00:00:00", 7)])
+    assert {r.id: r.v for r in join(left, right).collect()} == {1: None, 2: None, 3: None}

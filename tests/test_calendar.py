@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marketlake.functions.calendar import (
+    YEARLY,
     date_spine,
     is_trading_day,
     next_trading_days,
@@ -56,3 +57,19 @@ def test_empty_table(frame):
 def test_date_key(frame):
     df = frame("d date", [("2025-12-31",)])
     assert df.select(date_key(F.col("d"))).first()[0] == 20251231
+
+
+def test_any_number_of_days_is_complete(frame):
+    df = frame("d date", [("2025-01-01",)])
+    for yearly in ((), YEARLY):
+        days = [r.trading_day for r in next_trading_days(df, "d", 5000, yearly=yearly).orderBy("day_no").collect()]
+        assert len(days) == 5000 and days == sorted(set(days))
+        closed = {(d.month, d.day) for d in days} & set(YEARLY)
+        assert not closed if yearly else closed
+    assert str(next_trading_days(df, "d", 1).first().trading_day) == "2025-01-02"
+
+
+def test_yearly_rules_are_an_argument(frame):
+    df = frame("d date", [("2026-01-01",), ("2025-09-02",)])
+    assert [r[0] for r in df.select(is_trading_day("d")).collect()] == [True, False]
+    assert [r[0] for r in df.select(is_trading_day("d", yearly=YEARLY)).collect()] == [False, False]

@@ -1,4 +1,5 @@
 from marketlake.operators.scd2 import scd2_merge
+from tests.conftest import plan_of
 
 SCHEMA = "id string, name string, grp string"
 T1, T2, T3 = "2025-01-01 00:00:00", "2025-02-01 00:00:00", "2025-03-01 00:00:00"
@@ -61,3 +62,17 @@ def test_new_tracked_column_versions_old_rows_again(frame):
     dim = merge(dim, frame(SCHEMA, [("a", "A", "g")]), T2)
     assert dim.count() == 2
     assert dim.filter("is_current").first().grp == "g"
+
+
+def test_repeated_and_missing_keys_in_a_load(frame):
+    dim = merge(None, frame(SCHEMA, [("a", "A", "g"), ("a", "A", "g"), (None, "N", "g")]), T1)
+    assert state(dim) == {("a", "A", "g", T1, "None", True)} and dim.count() == 1
+    dim = merge(dim, frame(SCHEMA, [("a", "B", "g"), ("a", "C", "g"), ("b", "B", "g")]), T2)
+    assert dim.count() == 3
+    assert state(dim.filter("id = 'a'")) == {("a", "A", "g", T1, T2, False), ("a", "C", "g", T2, "None", True)}
+
+
+def test_one_join(frame):
+    history = merge(None, frame(SCHEMA, [("a", "A", "g")]), T1)
+    plan = plan_of(merge(history, frame(SCHEMA, [("a", "B", "g")]), T2))
+    assert plan.count("Join ") == 1

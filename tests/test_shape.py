@@ -99,3 +99,19 @@ def test_null_safe_change(frame):
         .filter(shape.null_safe_change("o", "n", ["v"]))
     )
     assert {r[0] for r in changed.select("o.k").collect()} == {"b", "c"}
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(frame):
+    rows = [("a", 1, 3.0), ("a", 1, 1.0), ("a", 0, 9.0), ("b", None, None), ("b", None, 2.0)]
+    for order in (rows, rows[::-1]):
+        df = frame("k string, t int, v double", order).repartition(3)
+        assert {r.k: r.v for r in shape.dedup_latest(df, ["k"], ["t"]).collect()} == {"a": 3.0, "b": 2.0}
+        assert {r.k: r.v for r in shape.dedup_first(df, ["k"], ["t"]).collect()} == {"a": 9.0, "b": 2.0}
+
+
+def test_upsert_keeps_the_grain(frame):
+    target = frame("k string, t int, v int", [("a", 0, 1), (None, 0, 2), ("c", 0, 3)])
+    changes = frame("k string, t int, v int", [("a", 1, 4), ("a", 2, 5), (None, 1, 6), ("d", 1, 7)])
+    out = {r.k: r.v for r in shape.upsert(target, changes, ["k"], ["t"]).collect()}
+    assert out == {"a": 5, None: 6, "c": 3, "d": 7}
+    assert shape.upsert(target, changes, ["k"], ["t"]).count() == 4

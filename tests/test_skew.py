@@ -53,17 +53,8 @@ def test_amplify(frame):
     assert sum(r.partition_key == "b" for r in rows) == 2
 
 
-def test_share_rescale(frame):
-    df = frame(
-        "k string, volume long, close double, value double",
-        [("a", 1000, 10.0, 1.0), ("b", 1000, 10.0, 1.0), ("c", 1000, 10.0, None), ("d", 1000, 10.0, 1.0)],
-    )
-    out = {
-        r.k: r
-        for r in skew.rescale_share(
-            df, F.col("k").isin("a", "b"), "volume", 0.8, "value", "close"
-        ).collect()
-    }
-    inside = out["a"].volume + out["b"].volume
-    assert inside / sum(r.volume for r in out.values()) == pytest.approx(0.8, abs=0.01)
-    assert out["a"].value == 10.0 * out["a"].volume and out["c"].value is None
+def test_target_shares_are_exact(frame):
+    df = frame("k string, volume long", [("a", 1000), ("a", 3), ("b", 500), (None, 7), ("z", 0)])
+    rows = skew.to_target_share(df, "k", "volume", {"a": 80, "b": 10, "z": 5}).collect()
+    out = sorted(((r.k or "", r.volume) for r in rows))
+    assert out == sorted([("a", 1000 * 1510 * 80 // 100300), ("a", 3 * 1510 * 80 // 100300), ("b", 151), ("", 7), ("z", 0)])

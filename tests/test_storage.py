@@ -58,12 +58,23 @@ def test_compaction_and_clustering(spark, tmp_path):
     assert rows(storage.read_table(spark, path)) == rows(df)
 
 
-def test_zorder_key_follows_each_column(spark):
-    df = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
-    keyed = df.withColumn("z", storage.zorder_key(df, ["x", "y"], bits=3))
-    # rows of the lowest quarter of both columns come first
-    first = keyed.orderBy("z").limit(16).agg(F.max("x"), F.max("y")).first()
-    assert max(first) <= 5
+def test_a_sweep_keeps_partition_folders(spark, tmp_path):
+    path = str(tmp_path / "fact_daily_price")
+    df = spark.range(600).select(
+        (F.col("id") % 7).cast("string").alias("ticker_id"),
+        F.expr("DATE'2025-01-01' + CAST(id % 6 AS INT)").alias("trade_date"),
+        "id",
+    )
+    df.repartition(5).write.partitionBy("trade_date").parquet(path)
+    assert storage.partition_columns(spark, path) == ["trade_date"]
+    before, after = storage.maintain(spark, str(tmp_path))["fact_daily_price"]
+    assert after < before and storage.partition_columns(spark, path) == ["trade_date"]
+    day = storage.read_table(spark, path).filter("trade_date = DATE'2025-01-02'")
+    plan = plan_of(day)
+    assert "PartitionFilters: []" not in plan and "trade_date" in plan[plan.index("PartitionFilters") :]
+    assert day.count() == 100 and rows(storage.read_table(spark, path).select(*df.columns)) == rows(df)
+    storage.overwrite_partitions(df.filter("trade_date = DATE'2025-01-02'").limit(1), path, "trade_date")
+    assert storage.read_table(spark, path).count() == 501
 
 
 def test_maintenance_skips_missing_tables(spark, tmp_path):

@@ -283,3 +283,14 @@ def test_start_all_stops_what_runs():
         sinks.start_all([Query, Query, fail])
     assert len(stopped) == 2
     assert len(sinks.start_all([Query])) == 1
+
+
+def test_no_event_vanishes(frame):
+    schema = ", ".join(f"{c} string" for c in dict.fromkeys(routing.TRADE_COLUMNS + routing.QUOTE_COLUMNS + routing.QUARANTINE_COLUMNS) if c != "_late_flag")
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = ["trade", "quote", "index_update", "halt", None]
+    rows = [tuple(k if n == "event_type" else None if n == "reason" else f"{n}{i}" for n in names) + (False,) for i, k in enumerate(kinds)]
+    parts = routing.routes(frame(schema + ", _late_flag boolean", rows))
+    assert parts["stg_trades"].count() == parts["stg_quotes"].count() == 1
+    held = parts["stg_events_quarantine"].collect()
+    assert {(r.event_type, r.reason) for r in held} == {("halt", "unknown_type"), (None, "unknown_type")}
