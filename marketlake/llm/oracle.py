@@ -2,7 +2,91 @@
 
 from __future__ import annotations
 
+from marketlake.llm import quality_rules as rules
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _distance(one: str, other: str) -> str:
+    """Jensen-Shannon distance of two lists of counts; NULL if one adds up to nothing."""
+    p, q = f"({one}[i] / list_sum({one}))", f"({other}[i] / list_sum({other}))"
+    middle = f"(({p} + {q}) / 2)"
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {middle}) ELSE 0 END"
+    total = f"list_sum(list_transform(range(1, len({one}) + 1), lambda i: {term(p)} + {term(q)}))"
+    known = f"list_sum({one}) > 0 AND list_sum({other}) > 0"
+    return f"CASE WHEN {known} THEN sqrt(greatest({total} / 2, 0)) END"
+
+
+_LISTED = (
+    "CASE lang "
+    + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in rules.COMMON_WORDS.items())
+    + " END"
+)
+_CLASSES = len(rules.CLASSES)
+_SUMS = ", ".join(f"sum(classes[{i}])" for i in range(1, _CLASSES + 1))
+_WORD_SUMS = ", ".join(f"sum(common[{i}])" for i in range(1, rules.BINS + 2))
+
+_QUALITY = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang
+    FROM documents),
+split AS (
+    SELECT *, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+        {_LISTED} AS listed
+    FROM texts),
+windows AS (
+    SELECT r, i, ws[i : i + 4] AS v FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM split)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, v) > 1),
+covered AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+counted AS (
+    SELECT s.r, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+        length(t) AS chars,
+        length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS upper,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS ascii_upper,
+        length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digit,
+        length(t) - length(regexp_replace(t, '[.,;:!?''"()-]', '', 'g')) AS punct,
+        length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS beyond,
+        list_transform(listed, lambda w: len(list_filter(ws, lambda x: x = w))) AS hits
+    FROM split s LEFT JOIN covered c ON s.r = c.r),
+shaped AS (
+    SELECT *, beyond - (upper - ascii_upper) AS other, chars - word_chars AS space,
+        CASE WHEN hits IS NOT NULL THEN list_transform(
+            list_append(hits, n_words - list_sum(hits)), lambda x: CAST(x AS DOUBLE)) END AS common,
+        n_words < {rules.MIN_WORDS}
+            OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+    FROM counted),
+histograms AS (
+    SELECT *, list_transform(
+        [chars - space - upper - digit - punct - n_symbols - other, upper, digit, punct, n_symbols, space, other],
+        lambda x: CAST(x AS DOUBLE)) AS classes
+    FROM shaped),
+reference AS (
+    SELECT lang, [{_SUMS}] AS class_sums,
+        CASE WHEN sum(common[1]) IS NOT NULL THEN [{_WORD_SUMS}] END AS word_sums
+    FROM histograms WHERE NOT base_failed AND n_words >= {rules.COMMON_MIN_WORDS} GROUP BY lang),
+measured AS (
+    SELECT h.*,
+        CASE WHEN n_words >= {rules.CLASS_WORDS} THEN {_distance("classes", "class_sums")} END AS class_distance,
+        CASE WHEN n_words >= {rules.COMMON_MIN_WORDS} THEN {_distance("common", "word_sums")} END AS common_distance
+    FROM histograms h LEFT JOIN reference f ON h.lang = f.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(class_distance > {rules.MAX_CLASS_DISTANCE}, false)
+        AND NOT coalesce(common_distance > {rules.MAX_COMMON_DISTANCE}, false) AS kept
+FROM measured
+"""
+
 SQL: dict[str, str] = {
+    "op3_quality_rules": _QUALITY,
     "op10_exact_dedup": """
 WITH normal AS (
     SELECT doc_id,
