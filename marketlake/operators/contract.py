@@ -39,40 +39,51 @@ def missing_columns(df: DataFrame, contract: Contract) -> list[str]:
     return [c for c in contract.required if c not in df.columns]
 
 
-def _counts_to_rows(df: DataFrame, contract: Contract, checks: list[tuple[str, str, Column]]):
+Check = tuple[str, str, str, Column]
+
+
+def _counts_to_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
     """Count every check in one pass over the data and unpivot the single result row."""
     spark = df.sparkSession
     if not checks:
         return spark.createDataFrame([], VIOLATION_SCHEMA)
-    counted = df.agg(*[F.count_if(check).alias(f"c{i}") for i, (_, _, check) in enumerate(checks)])
+    counted = df.agg(*[F.count_if(check[3]).alias(f"c{i}") for i, check in enumerate(checks)])
     rows = F.array(
         *[
             F.struct(
-                F.lit(contract.title).alias("contract"),
+                F.lit(title).alias("contract"),
                 F.lit(rule).alias("rule"),
                 F.lit(column).alias("column_name"),
                 F.col(f"c{i}").alias("rows"),
             )
-            for i, (rule, column, _) in enumerate(checks)
+            for i, (title, rule, column, _) in enumerate(checks)
         ]
     )
     return counted.select(F.inline(rows))
 
 
+def _structure_of(df: DataFrame, contracts: list[Contract]) -> DataFrame:
+    absent = [
+        (contract.title, "missing_required", c, 0)
+        for contract in contracts
+        for c in missing_columns(df, contract)
+    ]
+    extra = [
+        (contract.title, "unregistered", c, F.col(c).isNotNull())
+        for contract in contracts
+        for c in unexpected_columns(df, contract)
+    ]
+    missing = df.sparkSession.createDataFrame(absent, VIOLATION_SCHEMA)
+    return missing.unionByName(_counts_to_rows(df, extra).filter("rows > 0"))
+
+
 def check_structure(df: DataFrame, contract: Contract) -> DataFrame:
     """Structural findings: required columns that are absent, unknown columns with data.
 
     An unknown column that is NULL throughout passes, so a vendor may add a field
     ahead of time. All unknown columns are probed by one aggregate.
     """
-    missing = df.sparkSession.createDataFrame(
-        [(contract.title, "missing_required", c, 0) for c in missing_columns(df, contract)],
-        VIOLATION_SCHEMA,
-    )
-    extra = [
-        ("unregistered", c, F.col(c).isNotNull()) for c in unexpected_columns(df, contract)
-    ]
-    return missing.unionByName(_counts_to_rows(df, contract, extra).filter("rows > 0"))
+    return _structure_of(df, [contract])
 
 
 def enforce(df: DataFrame, contract: Contract) -> DataFrame:
@@ -111,16 +122,30 @@ def _row_checks(rule: FieldRule, data_type: T.DataType) -> list[tuple[str, str,
     return checks
 
 
-def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
-    """Row rules of the contract with the number of rows that break each one."""
+def _rules_of(df: DataFrame, contracts: list[Contract]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     checks = [
-        check for r in contract.fields if r.name in types for check in _row_checks(r, types[r.name])
+        (contract.title, *check)
+        for contract in contracts
+        for rule in contract.fields
+        if rule.name in types
+        for check in _row_checks(rule, types[rule.name])
     ]
-    return _counts_to_rows(df, contract, checks)
+    return _counts_to_rows(df, checks)
+
+
+def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
+    """Row rules of the contract with the number of rows that break each one."""
+    return _rules_of(df, [contract])
 
 
 def check_tables(tables: list[tuple[DataFrame, Contract]], rows: bool = False) -> DataFrame:
-    """Findings over a list of stored tables, stacked."""
-    check = check_rows if rows else check_structure
-    return reduce(DataFrame.unionByName, [check(df, contract) for df, contract in tables])
+    """Findings over a list of stored tables, stacked.
+
+    A frame that is listed with several contracts is read once for all of them.
+    """
+    by_frame: dict[int, tuple[DataFrame, list[Contract]]] = {}
+    for df, contract in tables:
+        by_frame.setdefault(id(df), (df, []))[1].append(contract)
+    check = _rules_of if rows else _structure_of
+    return reduce(DataFrame.unionByName, [check(df, listed) for df, listed in by_frame.values()])

@@ -33,10 +33,11 @@ def psi(
     span baseline and group together, so they differ per group; the last bin is closed.
     Fewer than ``2 * bins`` values give 0.
 
-    The baseline is counted under the edges of every group without pairing the two: it is
-    cut into ``slices`` by content, the inner edges are sorted in among the values of each
-    slice, and a running count tells how many values lie below each edge. The slices add up
-    to exact counts and keep a large feature from landing in one task.
+    The baseline is counted under the edges of every group without pairing the two: equal
+    values become one row with their number, the rows are cut into ``slices`` by content,
+    the inner edges are sorted in among the values of each slice, and a running sum tells
+    how many values lie below each edge. The slices add up to exact counts and keep a large
+    feature from landing in one task, and so does the counting with a value that most have.
     """
     base_stats = baseline.groupBy("feature_name").agg(
         F.min("value").alias("b_lo"), F.max("value").alias("b_hi"), F.count("value").alias("b_n")
@@ -58,11 +59,12 @@ def psi(
     )
     inner = range(1, bins)
 
-    values = baseline.select(
+    values = baseline.groupBy("feature_name", "value").agg(F.count(F.lit(1)).alias("times"))
+    values = values.select(
         "feature_name",
         F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int").alias("slice"),
         "value",
-        F.lit(1).alias("is_value"),
+        "times",
     )
     marks = (
         edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
@@ -71,7 +73,7 @@ def psi(
             "feature_name",
             "slice",
             F.expr(_edge("k", bins)).alias("value"),
-            F.lit(0).alias("is_value"),
+            F.lit(0).cast("long").alias("times"),
             "by",
             "k",
         )
@@ -79,13 +81,13 @@ def psi(
     # an edge goes before equal values, which belong to the bin above it
     upward = (
         Window.partitionBy("feature_name", "slice")
-        .orderBy("value", "is_value")
+        .orderBy("value", "times")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     expected = (
         values.unionByName(marks, allowMissingColumns=True)
-        .withColumn("below", F.sum("is_value").over(upward))
-        .filter("is_value = 0")
+        .withColumn("below", F.sum("times").over(upward))
+        .filter("times = 0")
         .groupBy("feature_name", "by")
         .agg(*[F.expr(f"sum(below) FILTER (WHERE k = {k}) AS e{k}") for k in inner])
     )
@@ -161,10 +163,9 @@ def feature_health(
         F.count_if(F.col("role") == "baseline").alias("b"),
         F.count_if(F.col("role") == "monitored").alias("m"),
     ).select((F.col("b") >= baseline_size) & (F.col("m") > 0))
-    # the roles are one row per date; the date list is far below any broadcast limit
-    watched = long_features(
-        features.select(day, *names).join(F.broadcast(roles), day), [day, "role"], names
-    ).filter(enough.scalar())
+    # roles are few unless the dates are wild; Spark broadcasts them by their size
+    watched = long_features(features.select(day, *names).join(roles, day), [day, "role"], names)
+    watched = watched.filter(enough.scalar())
     base_all = watched.filter("role = 'baseline'")
     last_day = roles.filter("role = 'baseline'").agg(F.max(day))
     base_rows = (

@@ -37,9 +37,10 @@ def current_rows(dim_ticker: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_date_key(df: DataFrame, dim_date: DataFrame, day: str) -> DataFrame:
-    """Look up the calendar key; the calendar has one row per date, so it is broadcast."""
-    dates = F.broadcast(dim_date.select(F.col("calendar_date").alias(day), "date_key"))
-    return df.join(dates, day, "left")
+    """Look up the calendar key. The calendar has one row per date between the first and
+    the last; one wild date makes it long, so Spark decides by its size how to join.
+    """
+    return df.join(dim_date.select(F.col("calendar_date").alias(day), "date_key"), day, "left")
 
 
 def build_fact_daily_price(
@@ -94,7 +95,7 @@ def build_fact_intraday_trade(
 ) -> DataFrame:
     """Deduplicated trades with value and dimension keys.
 
-    Sessions are four rows and dates one row a day; both are broadcast. The ticker lookup
+    Sessions are four rows and are broadcast. The ticker lookup
     is left to the optimiser, which knows the size.
     """
     sessions = F.broadcast(dim_session.withColumnRenamed("session_type", "_session"))

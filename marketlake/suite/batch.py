@@ -417,7 +417,6 @@ def psi(m: Market) -> DataFrame:
         values.filter("day < DATE '1996-01-01'").select("feature_name", "value"),
         values.filter("day >= DATE '1996-01-01'"),
         by="month",
-        slices=8,
     ).withColumn("psi", half_up("psi", 6))
 
 

@@ -96,7 +96,7 @@ class Market:
     @cached_property
     def health(self) -> DataFrame:
         features = self.stored(self.features, "feat_ticker_daily")
-        return analytics.build_feature_health(features, features, DRIFT_START, slices=8)
+        return analytics.build_feature_health(features, features, DRIFT_START)
 
     @cached_property
     def tick_features(self) -> DataFrame:

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake import storage
+from marketlake.operators import gates
 from marketlake.plans import chain, dimensions, facts, lineage, reports
+from marketlake.sources import landing
 from marketlake.suite.market import Market
 from tests.conftest import plan_of
 
@@ -59,6 +61,26 @@ def test_daily_chain_end_to_end(spark, tmp_path_factory):
     assert read["dim_industry"].count() == 10
 
 
+def test_a_landed_drop_runs_through_and_a_missing_key_stops_it(spark, tmp_path):
+    land = str(tmp_path / "landing")
+    days = spark.sql("SELECT explode(sequence(DATE'2025-01-01', DATE'2025-01-01' + 39)) AS trade_date")
+    bars = days.join(spark.range(3).select(F.concat(F.lit("T"), "id").alias("ticker_id"))).select(
+        "ticker_id",
+        "trade_date",
+        *[F.lit(v).alias(c) for c, v in (("open", 10.0), ("high", 12.0), ("low", 9.0), ("close", 11.0))],
+        F.lit(100).cast("long").alias("volume"),
+    )
+    landing.write_landing(bars, land, "2025-03-01", "ohlcv_daily")
+    paths = chain.run_landed(spark, land, str(tmp_path / "lake"), "b1", "2025-03-02 00:00:00", "2025-02-05", writers=2)
+    fact = spark.read.parquet(paths["fact_daily_price"])
+    assert fact.count() == 120 and fact.filter("ticker_key IS NULL").count() == 0
+    broken = bars.withColumn("ticker_id", F.when(F.col("ticker_id") != "T1", F.col("ticker_id")))
+    landing.write_landing(broken, land, "2025-03-01", "ohlcv_daily")
+    with pytest.raises(gates.GateFailure):
+        chain.run_landed(spark, land, str(tmp_path / "lake2"), "b1", "2025-03-02 00:00:00", "2025-02-05", writers=2)
+    assert not storage.path_exists(spark, str(tmp_path / "lake2" / "stg_daily_price"))
+
+
 def test_fact_without_dimensions(market):
     fact = facts.build_fact_daily_price(market.staged)
     assert "ticker_key" not in fact.columns
