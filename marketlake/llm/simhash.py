@@ -161,20 +161,24 @@ def connected(edges: DataFrame) -> DataFrame:
     """Smallest node that each node of the edges (_a > _b) reaches: _node, _label.
 
     A large star hangs the greater neighbours of a node on its least one, a small star the
-    lesser ones; repeated, every component becomes one star around its least node.
+    lesser ones; repeated, every component becomes one star around its least node. Least
+    neighbours are stored before they are joined, so that the joins are plain ones in which
+    Spark can split the edges of a node with very many.
     """
     edges = stored(edges, "edges")
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        least = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_least"))
-        large = (
+        least = both.groupBy("_a").agg(F.least(F.min("_b"), F.min("_a")).alias("_least"))
+        least = stored(least, "least")
+        large = stored(
             both.join(least, "_a")
             .filter("_b > _a AND _b != _least")
             .select(F.col("_b").alias("_a"), F.col("_least").alias("_b"))
-            .distinct()
+            .distinct(),
+            "stars",
         )
-        least = large.groupBy("_a").agg(F.min("_b").alias("_least"))
+        least = stored(large.groupBy("_a").agg(F.min("_b").alias("_least")), "least")
         small = large.join(least, "_a").select(
             F.explode(
                 F.array(
