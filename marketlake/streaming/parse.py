@@ -23,7 +23,8 @@ def unwrap(payload: str | Column) -> Column:
 def parse_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Typed events with ``event_ts``, ``created_ts_parsed`` and a ``reason`` when unusable.
 
-    ``reason`` is ``bad_json`` for text that is no JSON object, ``bad_event_time`` for a
+    ``reason`` is ``bad_json`` for text that is no JSON object, ``missing_id`` for an event
+    without an id, ``bad_event_time`` for a
     missing or unreadable event time, and NULL otherwise. Nothing is dropped.
     """
     keep = ["source_offset", "kafka_ts", "_ingested_at"] if keep is None else keep
@@ -32,17 +33,21 @@ def parse_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
         EVENT_SCHEMA + ", _corrupt string",
         {"columnNameOfCorruptRecord": "_corrupt"},
     )
-    flat = raw.select(event.alias("evt"), *keep).select("evt.*", *keep)
+    flat = raw.select(event.alias("evt"), *keep).select(
+        F.col("evt").isNull().alias("_none"), "evt.*", *keep
+    )
     event_ts = F.try_to_timestamp("event_timestamp")
-    reason = F.when(F.col("_corrupt").isNotNull() | F.col("event_id").isNull(), "bad_json").when(
-        event_ts.isNull(), "bad_event_time"
+    reason = (
+        F.when(F.col("_none") | F.col("_corrupt").isNotNull(), "bad_json")
+        .when(F.col("event_id").isNull(), "missing_id")
+        .when(event_ts.isNull(), "bad_event_time")
     )
     return flat.select(
         "*",
         event_ts.alias("event_ts"),
         F.try_to_timestamp("created_ts").alias("created_ts_parsed"),
         reason.alias("reason"),
-    ).drop("_corrupt")
+    ).drop("_corrupt", "_none")
 
 
 def event_time_or_arrival(event_ts: str = "event_ts", arrival: str = "kafka_ts") -> Column:

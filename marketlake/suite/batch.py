@@ -596,6 +596,16 @@ def top_movers(m: Market) -> DataFrame:
     )
 
 
+@query
+def csv_report(m: Market) -> DataFrame:
+    """A yearly report, exported as CSV and read back."""
+    path = storage.work_dir(m.spark, "report") + "/yearly"
+    bars = m.staged.withColumn("year", F.year("trade_date"))
+    measures = {"bars": F.count(F.lit(1)), "volume": F.sum("volume")}
+    storage.export_csv(reports.rollup_by(bars, "year", measures), path)
+    return m.spark.read.schema("year int, bars long, volume long").csv(path, header=True)
+
+
 @query
 def dimension_rollup(m: Market) -> DataFrame:
     dims = facts.current_rows(m.dim_ticker, "exchange", "icb_l1")

@@ -24,13 +24,17 @@ def _stored(m: Market, df: DataFrame, label: str) -> DataFrame:
 
 
 def _two_deliveries(m: Market) -> DataFrame:
-    """Parsed events as a stream of two batches: purchases come after all the rest."""
+    """Parsed events as a stream of two batches: purchases come after all the rest.
+
+    Each delivery has as many files as there are cores, and a batch takes as many.
+    """
     path = storage.work_dir(m.spark, "deliveries") + "/events"
+    files = m.spark.sparkContext.defaultParallelism
     parsed = parse_events(m.tables.raw_events())
     buys = F.coalesce(F.col("side") == "buy", F.lit(False))
-    parsed.filter(~buys).coalesce(1).write.parquet(path)
-    parsed.filter(buys).coalesce(1).write.mode("append").parquet(path)
-    return stream_table(m.live, path, parsed.schema, files_per_batch=1)
+    parsed.filter(~buys).repartition(files).write.parquet(path)
+    parsed.filter(buys).repartition(files).write.mode("append").parquet(path)
+    return stream_table(m.live, path, parsed.schema, files_per_batch=files)
 
 
 @query

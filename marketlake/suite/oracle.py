@@ -839,6 +839,11 @@ oracle(
     FROM raw_bars WHERE vendor <> 'R' OR year(trade_date) = 1998
     QUALIFY row_number() OVER (PARTITION BY ticker_id, trade_date ORDER BY _ingested_at DESC) = 1""",
 )
+oracle(
+    "csv_report",
+    """SELECT CAST(year(trade_date) AS INTEGER) AS "year", count(*) AS bars,
+        CAST(sum(volume) AS BIGINT) AS volume FROM staged GROUP BY 1""",
+)
 oracle(
     "ingest_layers",
     """SELECT 'raw_ohlcv_daily_v1' AS layer, 1 AS _schema_version, count(*) AS bars,
