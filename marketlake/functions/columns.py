@@ -80,12 +80,3 @@ def arrival_delay_exceeds(event_ts: str | Column, arrival_ts: str | Column, seco
     """True when whole seconds between event and arrival pass the limit; NULL times pass."""
     delay = F.unix_timestamp(as_col(arrival_ts)) - F.unix_timestamp(as_col(event_ts))
     return F.coalesce(delay > seconds, F.lit(False))
-
-
-def half_up(value: str | Column, digits: int = 0) -> Column:
-    """Round decimal halves up, as a double; NULL where the value is no finite number.
-
-    The value is taken as a decimal with ten places first, so the last bits of a double do
-    not decide on which side of a half it lies.
-    """
-    return F.round(as_col(value).try_cast("decimal(38,10)"), digits).cast("double")

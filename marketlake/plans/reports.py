@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake import storage
-from marketlake.functions.columns import half_up
 
 
 def top_k(df: DataFrame, k: int, greatest: str, key: str) -> DataFrame:
@@ -28,7 +27,7 @@ def leaders_by_mean(
     """
     recent = df.filter(F.col(day) >= F.lit(since).cast("date"))
     found = recent.groupBy(key).agg(
-        *[half_up(F.avg(measure), digits).alias(name) for name, (measure, digits) in means.items()]
+        *[F.round(F.avg(measure), digits).alias(name) for name, (measure, digits) in means.items()]
     )
     return top_k(found, k, next(iter(means)), key)
 

@@ -12,7 +12,6 @@ from marketlake.functions.calendar import YEARLY
 from marketlake.functions.calendar import trading_calendar as calendar_of
 from marketlake.functions.columns import (
     date_key,
-    half_up,
     is_weekend,
     pct_change,
     price_limit,
@@ -36,8 +35,20 @@ def ntz(column: str, alias: str | None = None):
     return F.col(column).cast("timestamp_ntz").alias(alias or column)
 
 
+def fixed(value, digits: int = 4):
+    """Cut a double to a number of digits for the comparison, as the SQL side does.
+
+    Sums of doubles end in other last bits from run to run, and many prices lie at decimal
+    halves. The cut is therefore a little off the half, so that those bits decide nothing;
+    no operator rounds this way.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    unit = float(10**digits)
+    return F.floor(value * unit + 0.5003) / F.lit(unit)
+
+
 def rounded(column: str, digits: int = 4):
-    return half_up(column, digits).alias(column)
+    return fixed(column, digits).alias(column)
 
 
 # --- contracts and shape ---------------------------------------------------------------
@@ -60,7 +71,7 @@ def dedup_latest(m: Market) -> DataFrame:
 @query
 def dedup_stats(m: Market) -> DataFrame:
     return shape.dedup_stats(m.tables.raw_bars(), GRAIN).withColumn(
-        "removed_pct", half_up("removed_pct", 6)
+        "removed_pct", fixed("removed_pct", 6)
     )
 
 
@@ -385,7 +396,7 @@ def label_future(m: Market) -> DataFrame:
 @query
 def label_balance(m: Market) -> DataFrame:
     return gates.label_balance(m.labels, "label").withColumn(
-        "positive_pct", half_up("positive_pct", 6)
+        "positive_pct", fixed("positive_pct", 6)
     )
 
 
@@ -417,12 +428,12 @@ def psi(m: Market) -> DataFrame:
         values.filter("day < DATE '1996-01-01'").select("feature_name", "value"),
         values.filter("day >= DATE '1996-01-01'"),
         by="month",
-    ).withColumn("psi", half_up("psi", 6))
+    ).withColumn("psi", fixed("psi", 6))
 
 
 @query
 def feature_health(m: Market) -> DataFrame:
-    return m.health.withColumn("mean_value", half_up("mean_value", 4))
+    return m.health.withColumn("mean_value", fixed("mean_value", 4))
 
 
 @query
@@ -442,7 +453,7 @@ def quality_profile(m: Market) -> DataFrame:
     members = m.tickers.filter("vn30").select("ticker_id", F.lit(True).alias("_in"))
     bars = m.tables.raw_bars().join(members, "ticker_id", "left")
     return profile.bar_profile(bars, F.coalesce("_in", F.lit(False))).withColumn(
-        "value", half_up("value", 4)
+        "value", fixed("value", 4)
     )
 
 
@@ -450,7 +461,7 @@ def quality_profile(m: Market) -> DataFrame:
 def burst_profile(m: Market) -> DataFrame:
     parsed = parse_events(m.tables.raw_events())
     return profile.event_profile(parsed, "event_id", "event_ts", "created_ts_parsed").withColumn(
-        "value", half_up("value", 4)
+        "value", fixed("value", 4)
     )
 
 
@@ -472,7 +483,7 @@ def gate_uniqueness(m: Market) -> DataFrame:
 @query
 def gate_duplicates(m: Market) -> DataFrame:
     return gates.duplicates(m.tables.raw_bars(), GRAIN, "raw_ohlcv_daily").withColumn(
-        "rate_pct", half_up("rate_pct", 6)
+        "rate_pct", fixed("rate_pct", 6)
     )
 
 
@@ -573,7 +584,7 @@ def sector_performance(m: Market) -> DataFrame:
         "icb_l1",
         {
             "ticker_count": F.count_distinct("ticker_id"),
-            "avg_daily_return_pct": half_up(F.avg(change), 2),
+            "avg_daily_return_pct": F.round(F.avg(change), 2),
             "total_volume": F.sum("volume"),
         },
     )
@@ -609,7 +620,7 @@ def csv_report(m: Market) -> DataFrame:
 @query
 def dimension_rollup(m: Market) -> DataFrame:
     dims = facts.current_rows(m.dim_ticker, "exchange", "icb_l1")
-    notional = half_up(F.col("close") * F.col("volume") * 100, 0).cast("long")
+    notional = fixed(F.col("close") * F.col("volume") * 100, 0).cast("long")
     return (
         m.staged.select("ticker_id", notional.alias("cents"))
         .join(dims, "ticker_id")
@@ -624,7 +635,7 @@ def share_rescale(m: Market) -> DataFrame:
     members = m.tickers.select("ticker_id", "vn30")
     bars = m.staged.select(*GRAIN, "close", "volume", "value").join(members, "ticker_id")
     scaled = skew.to_target_share(bars, "vn30", "volume", {True: 80, False: 20})
-    value = F.when(F.col("value").isNotNull(), half_up(F.col("close") * F.col("volume"), 4))
+    value = F.when(F.col("value").isNotNull(), fixed(F.col("close") * F.col("volume"), 4))
     return scaled.select(*GRAIN, "vn30", "volume", value.alias("value"))
 
 
@@ -697,7 +708,7 @@ def scalar_suite(m: Market) -> DataFrame:
         F.greatest("o_totalprice", F.lit(100000.0)).alias("at_least"),
         F.least("o_totalprice", F.lit(100000.0)).alias("at_most"),
         F.abs(F.lit(250000.0) - F.col("o_totalprice")).alias("distance"),
-        half_up(F.exp(F.ln("o_totalprice")), 4).alias("exp_log"),
+        fixed(F.exp(F.ln("o_totalprice")), 4).alias("exp_log"),
         F.pmod("o_custkey", F.lit(20)).alias("pmod20"),
         F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("none")).alias("status_or_none"),
         pct_change("o_totalprice", F.col("o_totalprice") - F.col("o_totalprice")).alias("guarded"),
@@ -880,7 +891,7 @@ def _amplified(m: Market) -> DataFrame:
     """Bars with all tickers of one exchange under one hot key, repeated eight times more."""
     dims = facts.current_rows(m.dim_ticker, "exchange")
     bars = m.staged.select(
-        *GRAIN, half_up(F.col("close") * F.col("volume") * 100, 0).cast("long").alias("cents")
+        *GRAIN, fixed(F.col("close") * F.col("volume") * 100, 0).cast("long").alias("cents")
     ).join(dims, "ticker_id")
     return skew.amplify(bars, F.col("exchange") == "HOSE", "ticker_id", "HOT", 1, 8)
 

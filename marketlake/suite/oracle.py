@@ -233,8 +233,8 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _half_up(text: str) -> str:
-    """Write ``round(x, d)`` as rounding of a decimal with ten places, halves up."""
+def _cut(text: str) -> str:
+    """Write ``round(x, d)`` as the cut of doubles that the Spark side of a comparison uses."""
     while (at := text.find("round(")) >= 0:
         depth, end, comma = 1, at + 6, None
         while depth:
@@ -244,9 +244,8 @@ def _half_up(text: str) -> str:
                 comma = end
             end += 1
         value = text[at + 6 : comma or end - 1]
-        digits = text[comma + 1 : end - 1].strip() if comma else "0"
-        exact = f"CAST(ROUND(TRY_CAST(({value}) AS DECIMAL(38, 10)), {digits}) AS DOUBLE)"
-        text = f"{text[:at]}{exact}{text[end:]}"
+        unit = "1" + "0" * int(text[comma + 1 : end - 1]) if comma else "1"
+        text = f"{text[:at]}(floor(({value}) * {unit} + CAST(0.5003 AS DOUBLE)) / {unit}){text[end:]}"
     return text
 
 
@@ -263,7 +262,7 @@ def with_views(body: str) -> str:
 
     visit(body)
     chain = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names if n in needed)
-    return _half_up(f"WITH {chain}\n{body}" if chain else body)
+    return _cut(f"WITH {chain}\n{body}" if chain else body)
 
 
 SQL: dict[str, str] = {}
