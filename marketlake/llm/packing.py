@@ -6,7 +6,8 @@ about one sequence in thousands, and no task sees more than a shard. In a shard,
 in descending order comes first. Then a local search exchanges one piece for one, two for
 one, or moves one, between bins with room, whenever the sum of squared fills grows; that
 drains the emptier bins until some are empty. It ends as soon as the number of bins is the
-least possible, or when no exchange helps.
+least possible, or when no exchange helps: every bin has the sizes that it can give and
+those that it can take as sets of bits, so one look compares a bin with all others.
 
 Defined results: a null text counts as empty and is one piece, the end id; an empty table
 gives no rows; repeated rows are packed each by itself; ids may be null; other columns are
@@ -29,7 +30,6 @@ from marketlake.llm.tokens import encoder
 CAPACITY = 1024
 END_ID = 2
 SHARD_PIECES = 20_000
-TRIES = 50_000  # effort of the search in a shard, in pairs of bins looked at
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -131,40 +131,91 @@ class Bins:
         self._apply(a, b, *move)
         return True
 
-    def search(self, tries: int) -> None:
-        """Exchange until no fewer bins are possible, nothing helps, or all tries are used.
+    def _gives_and_takes(self, b: int) -> tuple[int, int]:
+        """Sizes that a bin can give, and those by which what it gets may be as large.
 
-        What moves goes from the emptier to the fuller bin, so squared fill grows with
-        every step. The emptiest bin is drained first.
+        Sets of bits, the sizes of single pieces below those of two pieces. A bin takes one
+        piece for none, one or two of its own, or two for one, if it grows by 1 to its room.
         """
-        least = self.least()
-        while sum(f > 0 for f in self.fill) > least:
-            underfull = sorted(
-                (b for b, f in enumerate(self.fill) if 0 < f < self.capacity),
-                key=self.fill.__getitem__,
-            )
-            changed = False
-            for i, a in enumerate(underfull):
-                for b in reversed(underfull[i + 1 :]):
-                    if not self.fill[a]:
-                        break
-                    tries -= 1
-                    if tries < 0:
-                        return
-                    changed |= self._exchange(a, b)
-                if changed:
-                    break
-            if not changed:
-                return
+        wide = 64 * (self.capacity // 64 + 1)
+        within = (1 << (self.capacity + 1)) - 1
+        ones = more = twos = 0
+        for p in self.content[b]:
+            bit = 1 << self.lengths[p]
+            more |= ones & bit
+            ones |= bit
+        for size in {self.lengths[p] for p in self.content[b]}:
+            bit = 1 << size
+            twos |= (ones & ~bit | more & bit) << size
+        room = self.capacity - self.fill[b]
 
+        def grown(sizes: int) -> int:
+            out, have = sizes << 1, 1
+            while have < room:
+                step = min(have, room - have)
+                out |= out << step
+                have += step
+            return out & within if room else 0
 
-def pack_lengths(
-    lengths: list[int], capacity: int, tries: int = TRIES
-) -> tuple[np.ndarray, np.ndarray]:
+        return ones | twos << wide, grown(1 | ones | twos) | grown(ones) << wide
+
+    def search(self, exchanges: int | None = None) -> None:
+        """Exchange until no fewer bins are possible or nothing helps.
+
+        What moves goes from the emptier to the fuller bin, so squared fill grows with
+        every step. Emptier bins are drained first. A bin that found no partner is compared
+        only with those that changed since. A number of exchanges ends the search earlier.
+        """
+        spare = sum(f > 0 for f in self.fill) - self.least()
+        bins = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity]
+        size = 16 * (self.capacity // 64 + 1)
+        gives, takes = np.zeros((2, len(bins), size // 8), "<u8")
+        fill = np.array([self.fill[b] for b in bins], np.int64)
+
+        def note(i: int) -> None:
+            give, take = self._gives_and_takes(bins[i])
+            gives[i] = np.frombuffer(give.to_bytes(size, "little"), "<u8")
+            takes[i] = np.frombuffer(take.to_bytes(size, "little"), "<u8")
+            fill[i] = self.fill[bins[i]]
+
+        if spare > 0:
+            for i in range(len(bins)):
+                note(i)
+        changes: list[int] = []
+        seen = [-1] * len(bins)  # changes that a bin knows; -1 if it has to look at all bins
+        every = np.arange(len(bins))
+        changed = True
+        while changed and spare > 0:
+            changed = False
+            for a in np.argsort(fill, kind="stable").tolist():
+                while fill[a] and seen[a] < len(changes):
+                    others = every if seen[a] < 0 else np.unique(changes[seen[a] :])
+                    others = others[(fill[others] >= fill[a]) & (others != a)]
+                    others = others[(takes[others] & gives[a]).any(axis=1)]
+                    seen[a] = len(changes)
+                    for b in others[np.argsort(-fill[others], kind="stable")].tolist():
+                        if exchanges is not None and exchanges <= 0:
+                            return
+                        if not self._exchange(bins[a], bins[b]):
+                            continue
+                        exchanges = None if exchanges is None else exchanges - 1
+                        note(a)
+                        note(b)
+                        changes += [a, b]
+                        seen[a] = seen[b] = -1
+                        changed = True
+                        if not fill[a]:
+                            spare -= 1
+                            break
+                if spare <= 0:
+                    return
+
+
+def pack_lengths(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
     bins = Bins(lengths, capacity)
     bins.best_fit()
-    bins.search(tries)
+    bins.search()
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     used = 0
     for pieces in filter(None, bins.content):

@@ -107,6 +107,21 @@ def test_search_never_makes_it_worse():
             assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 100
 
 
+def test_search_leaves_no_exchange():
+    draw = random.Random(7)
+    lengths = [draw.randint(300, 600) for _ in range(2000)]
+    filled = defaultdict(list)
+    for p, b in enumerate(packing.pack_lengths(lengths, 1024)[0]):
+        filled[b].append(lengths[p])
+    bins = sorted(filled.values(), key=sum)
+    sums = [{x + y for i, x in enumerate(b) for y in b[:i]} for b in bins]
+    rooms = [1024 - sum(b) for b in bins]
+    for i in range(len(bins)):
+        for j in range(i + 1, len(bins)):
+            for gives, takes in ((bins[i], {0, *bins[j], *sums[j]}), (sums[i], bins[j])):
+                assert not any(0 < g - t <= rooms[j] for g in gives for t in takes)
+
+
 # --- records -----------------------------------------------------------------------------
 
 
