@@ -13,7 +13,9 @@ fitting takes a second or two, once per driver process, and always gives the sam
 
 Defined results: a null text is an empty one and has no spans; repeated rows each have
 theirs; an empty table gives no rows; other columns are never looked at. Spans are in code
-points, the end exclusive. An added span never overlaps one of the rules.
+points, the end exclusive. An added span never overlaps one of the rules: where the field's
+span does, its parts outside are added. One that the field tags with under 8 characters
+needs a letter or digit and a word like ``password`` shortly before it.
 """
 
 from __future__ import annotations
@@ -89,6 +91,15 @@ def _candidate(chunk: str, before: list[str]) -> bool:
     return digit and letter or any(map(_announces, before[-REACH:]))
 
 
+def _announced(text: str, at: int) -> bool:
+    """Whether one of the chunks before the place, or the start of its own, announces."""
+    start, chunks = at, 0
+    while start and chunks <= REACH:
+        start -= 1
+        chunks += text[start].isspace() and not text[start + 1].isspace()
+    return any(map(_announces, CHUNK.findall(text, start, at)[-REACH - 1 :]))
+
+
 def _step(value: float, *limits: float) -> int:
     return sum(value >= x for x in limits)
 
@@ -390,7 +401,11 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
             elif label == 2:
                 out[-1] = (out[-1][0], b)
             open_ = label > 0
-    return [(a, b) for a, b in out if b - a >= LEAST]
+    return [
+        (a, b)
+        for a, b in out
+        if b - a >= LEAST or any(map(str.isalnum, text[a:b])) and _announced(text, a)
+    ]
 
 
 def find(text: str | None, field: Field) -> list[tuple[int, int, str]]:
@@ -400,10 +415,12 @@ def find(text: str | None, field: Field) -> list[tuple[int, int, str]]:
     added, at, reach = [], 0, -1
     for a, b in field_spans(text, field):
         while at < len(base) and base[at][0] < b:  # both are in order of their starts
+            if max(a, reach) < base[at][0]:
+                added.append((max(a, reach), base[at][0], "secret"))
             reach = max(reach, base[at][1])
             at += 1
-        if a >= reach:
-            added.append((a, b, "secret"))
+        if max(a, reach) < b:
+            added.append((max(a, reach), b, "secret"))
     return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
