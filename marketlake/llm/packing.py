@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences, improved by exchanges between underfull bins.
 
 Pieces of at most ``capacity`` tokens go into sequences. They are dealt into shards of about
-``shard_pieces`` by a hash, and every shard is packed by itself: a shard wastes at most
+``shard_pieces`` by a hash of their running number, and every shard is packed by itself: a shard wastes at most
 about one sequence in thousands, and no task sees more than a shard. In a shard, best fit
 in descending order comes first. Then a local search exchanges one piece for one, two for
 one, or moves one, between bins with room, whenever the sum of squared fills grows; that
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from marketlake.llm.tokens import encoder
 CAPACITY = 1024
 END_ID = 2
 SHARD_PIECES = 20_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, place long"
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -235,15 +236,17 @@ def _cut_batches(
 ) -> Iterator[pa.RecordBatch]:
     tokenizer = encoder(path)
     end = np.array([end_id], "<u4").tobytes()
+    place = TaskContext.get().partitionId() << 40
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = memoryview(tokenizer.encode(text) + end)
             for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
-                rows.append((key, piece, start, length, zlib.crc32(own), bytes(own) if keep_ids else None))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                rows.append((key, piece, start, length, zlib.crc32(own), bytes(own) if keep_ids else None, place))
+                place += 1
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "place"]
         columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, names)
@@ -258,7 +261,11 @@ def pieces(
     end_id: int = END_ID,
     keep_ids: bool = False,
 ) -> DataFrame:
-    """Stored table of all pieces; their ids as bytes too if asked for."""
+    """Stored table of all pieces; their ids as bytes too if asked for.
+
+    ``place`` numbers the rows. It may differ when a task runs again, so what uses it starts
+    from the stored table.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return stored(
         in_arrow(rows, lambda b: _cut_batches(b, tokenizer_path, capacity, end_id, keep_ids), PIECES),
@@ -286,7 +293,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
         "start",
         "length",
         "ids_crc32",
-        F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("_shard"),
+        F.pmod(F.xxhash64("place"), F.lit(shards)).alias("_shard"),
     )
     schema = (
         "doc_id long, piece int, start long, length long, ids_crc32 long, "

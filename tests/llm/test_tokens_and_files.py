@@ -122,6 +122,13 @@ def test_search_leaves_no_exchange():
                 assert not any(0 < g - t <= rooms[j] for g in gives for t in takes)
 
 
+def test_repeated_rows_are_dealt_over_shards(spark):
+    docs = spark.createDataFrame(rows_of([(None, "one and the same text")] * 2000), SCHEMA)
+    rows = packing.place(packing.pieces(docs, PATH), shard_pieces=200).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 2000 and len(sizes) == 10 and max(sizes.values()) < 300
+
+
 # --- records -----------------------------------------------------------------------------
 
 
