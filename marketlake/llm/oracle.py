@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketlake.llm import filter_audit, source_divergence
 from marketlake.llm import quality_rules as rules
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -85,8 +86,102 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM measured
 """
 
+_AUDIT = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (
+    SELECT *, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+        min(doc_id) OVER (PARTITION BY t) AS first_id
+    FROM texts),
+marks AS (
+    SELECT doc_id, part, [
+        len(ws) < {filter_audit.MIN_WORDS},
+        100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(ws),
+        100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {filter_audit.MAX_UPPER_PERCENT} * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > first_id, false)] AS fails
+    FROM split),
+known AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+    FROM labels GROUP BY doc_id),
+sets AS (
+    SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+    SELECT filter_order, step, instr('ABCDE', substr(filter_order, step, 1)) AS f,
+        list_transform(range(1, step), lambda k: instr('ABCDE', substr(filter_order, k, 1))) AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+judged AS (
+    SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing,
+        len(list_filter(before, lambda k: fails[k])) > 0 AS gone,
+        len(list_filter(fails, lambda b: b)) = 1 AS alone
+    FROM sets, steps),
+told AS (
+    SELECT part, filter_order, step, f,
+        sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN failing AND alone THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN failing AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+    FROM judged GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM told
+"""
+
+_SHARE = "CAST(1 + (CAST(1000000000 AS HUGEINT) * ({uses} + 2)) // ({total} + 2 * v) AS BIGINT)"
+_DIVERGENCE = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t
+    FROM documents),
+tokens AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM texts),
+kept AS (
+    SELECT lang, term, count(*) AS uses FROM tokens
+    GROUP BY lang, term HAVING count(DISTINCT r) >= {source_divergence.MIN_DOCUMENTS}),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(uses) AS BIGINT) AS n FROM kept GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM texts),
+found AS (SELECT lang, source, term, count(*) AS uses FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (
+    SELECT s.lang, s.source, coalesce(CAST(sum(uses) AS BIGINT), 0) AS n
+    FROM sources s LEFT JOIN found f ON s.lang = f.lang AND s.source = f.source GROUP BY s.lang, s.source),
+shares AS (
+    SELECT s.lang, s.source, k.term, coalesce(f.uses, 0) AS uses,
+        {_SHARE.format(uses="coalesce(f.uses, 0)", total="s.n")} AS p,
+        {_SHARE.format(uses="k.uses", total="l.n")} AS q
+    FROM totals s JOIN kept k ON s.lang = k.lang JOIN langs l ON s.lang = l.lang
+    LEFT JOIN found f ON s.lang = f.lang AND s.source = f.source AND k.term = f.term),
+apart AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+    FROM shares WHERE uses > 0 AND p > q),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
+"""
+
 SQL: dict[str, str] = {
     "op3_quality_rules": _QUALITY,
+    "op12_filter_audit": _AUDIT,
+    "op13_source_divergence": _DIVERGENCE,
     "op10_exact_dedup": """
 WITH normal AS (
     SELECT doc_id,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlake import storage
 from marketlake.llm import (
     exact_dedup,
+    filter_audit,
     mixing,
     packing,
     pii_semi_crf,
@@ -20,6 +21,8 @@ from marketlake.llm import (
     sharding,
     simhash,
     site_quality,
+    source_divergence,
+    toxicity,
 )
 from marketlake.llm.shared import documents
 
@@ -130,3 +133,20 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.classify(documents(spark, folder), labels)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return filter_audit.audit(documents(spark, folder), labels)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, folder))
