@@ -23,7 +23,9 @@ def back_adjust(
     row is never multiplied. A key holds at most two rows per calendar date here.
 
     A factor that is not positive has no meaning: prices that it would adjust are NULL. A
-    price without a key is not adjusted, an action without one adjusts nothing.
+    price without a key is not adjusted, an action without one adjusts nothing. Such prices
+    pass through the same window, so the input is planned once and the result stays
+    partitioned by the key; they are one group there, as in every later window by the key.
     """
     if actions is None:
         return prices.withColumn(name, F.col(price))
@@ -36,12 +38,7 @@ def back_adjust(
         )
         .withColumn("_is_price", F.lit(0))
     )
-    keyless = prices.filter(F.col(key).isNull()).withColumn(name, F.col(price))
-    stacked = (
-        prices.filter(F.col(key).isNotNull())
-        .withColumn("_is_price", F.lit(1))
-        .unionByName(per_day, allowMissingColumns=True)
-    )
+    stacked = prices.withColumn("_is_price", F.lit(1)).unionByName(per_day, allowMissingColumns=True)
     # newest first; on one date the price comes before the action, so that the action
     # leaves the price of its own day alone
     back = (
@@ -51,13 +48,12 @@ def back_adjust(
     )
     later = F.product(F.coalesce("_factor", F.lit(1.0))).over(back)
     bad = F.coalesce(F.bool_or("_bad").over(back), F.lit(False))
-    adjusted = (
+    return (
         stacked.withColumns({"_later": later, "_bad_later": bad})
         .filter("_is_price = 1")
         .withColumn(name, F.when(~F.col("_bad_later"), F.col(price) / F.col("_later")))
         .drop("_later", "_factor", "_bad", "_bad_later", "_is_price")
     )
-    return adjusted.unionByName(keyless)
 
 
 def back_adjust_as_known(
@@ -110,12 +106,7 @@ def back_adjust_as_known(
         .agg(F.sum("_log").alias("_log"), F.sum("_bad").alias("_bad"))
         .withColumn("_is_price", F.lit(0))
     )
-    keyless = prices.filter(F.col(key).isNull()).withColumn(name, F.col(price))
-    stacked = (
-        prices.filter(F.col(key).isNotNull())
-        .withColumn("_is_price", F.lit(1))
-        .unionByName(per_day, allowMissingColumns=True)
-    )
+    stacked = prices.withColumn("_is_price", F.lit(1)).unionByName(per_day, allowMissingColumns=True)
     # oldest first; on one date the switches come before the price
     forward = (
         Window.partitionBy(key)
@@ -125,10 +116,9 @@ def back_adjust_as_known(
     # rounding takes away what floating point leaves behind when a factor is switched off
     active = F.exp(F.round(F.sum(F.coalesce("_log", F.lit(0.0))).over(forward), 13))
     bad = F.sum(F.coalesce("_bad", F.lit(0))).over(forward)
-    adjusted = (
+    return (
         stacked.withColumns({"_active": active, "_bad_now": bad})
         .filter("_is_price = 1")
         .withColumn(name, F.when(F.col("_bad_now") == 0, F.col(price) / F.col("_active")))
         .drop("_active", "_log", "_bad", "_bad_now", "_is_price")
     )
-    return adjusted.unionByName(keyless)

@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Slices of left rows that cannot match; times never fall into them.
+APART, APART_SLICES = -(1 << 40), 1024
+
+
+def _seconds(time: str) -> Column:
+    return F.unix_timestamp(F.col(time).cast("timestamp"))
+
+
+def depth_bounds(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_time: str,
+    right_time: str,
+    cell_seconds: int,
+    parts: int = 256,
+) -> DataFrame:
+    """Where to cut the time of each key that has more than one of ``parts`` shares of all
+    rows of both sides: key, _bounds.
+
+    Rows are counted by key and then, for the large keys alone, by cells of time; a running
+    count per key puts a bound wherever another share is full. So there are fewer than
+    ``parts`` bounds, whatever the rows. A cell is never cut.
+    """
+
+    def cells(df: DataFrame, time: str) -> DataFrame:
+        known = df.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+        return known.select(key, F.floor(_seconds(time) / cell_seconds).cast("long").alias("_cell"))
+
+    every = cells(left, left_time).unionByName(cells(right, right_time))
+    rows = max(1, -(-every.count() // parts))
+    large = every.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(key)
+    counts = every.join(large, key, "left_semi").groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows)
+    numbered = counts.withColumn("_no", full)
+    # a bound where the number rises; the first slice needs none
+    starts = numbered.groupBy(key, "_no").agg(F.min("_cell").alias("_from")).filter("_no > 0")
+    return starts.groupBy(key).agg(F.sort_array(F.collect_list("_from")).alias("_bounds"))
+
 
 def asof_join(
     left: DataFrame,
@@ -16,19 +56,22 @@ def asof_join(
     columns: list[str],
     slice_seconds: int = 86_400 * 30,
     max_age_seconds: int | None = None,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Each left row with the newest right row of its key at or before its time.
 
     Equal times are settled by the greatest ``tie``. Time is cut into slices and the
     rows are shuffled on (key, slice), so a hot key spreads over its slices. The newest
     right row of each slice, one row, is carried into the following slices through a
-    window over slice summaries only: the number of slices bounds its groups. A left row
-    without a key or a time has no match; right rows without one match nothing.
+    window over slice summaries only: the number of slices bounds its groups.
+
+    Slices last ``slice_seconds``. With ``bounds`` (from ``depth_bounds``, made with cells of
+    ``slice_seconds``) they hold about equally many rows instead, and a small key is one
+    slice. A left row without a key or a time has no match and is dealt by its content;
+    right rows without one match nothing. Each side is planned once for the rows and once
+    for the summaries.
     """
     names = left.columns
-    matchable = F.col(key).isNotNull() & F.col(left_time).isNotNull()
-    apart, left = left.filter(~matchable), left.filter(matchable)
-    right = right.filter(F.col(key).isNotNull())
     payload = F.struct(
         F.col(right_time).alias("_rt"),
         F.col(tie).alias("_tie"),
@@ -36,19 +79,30 @@ def asof_join(
     )
 
     def sliced(df: DataFrame, time: str) -> DataFrame:
-        seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-        return df.withColumn("_slice", F.floor(seconds / slice_seconds).cast("long"))
+        cell = F.floor(_seconds(time) / slice_seconds).cast("long")
+        timed = df.withColumn("_at", F.col(time).cast("timestamp"))
+        if bounds is None:
+            return timed.withColumn("_slice", cell)
+        # fewer rows than ``parts``
+        cut = timed.join(F.broadcast(bounds), key, "left").withColumn("_cell", cell)
+        # cells ascend and so do bounds: the slice is the number of bounds passed
+        passed = F.size(F.filter("_bounds", lambda b: b <= F.col("_cell"))).cast("long")
+        number = F.when(F.col("_cell").isNull(), None).when(F.col("_bounds").isNull(), 0).otherwise(passed)
+        return cut.withColumn("_slice", number.cast("long")).drop("_bounds", "_cell")
 
-    facts = sliced(left, left_time).withColumn("_at", F.col(left_time).cast("timestamp"))
+    matchable = F.col(key).isNotNull() & F.col("_slice").isNotNull()
+    apart = F.lit(APART) - F.pmod(F.xxhash64(*names), F.lit(APART_SLICES))
+    facts = sliced(left, left_time).withColumn("_can", matchable)
+    facts = facts.withColumn("_slice", F.when(F.col("_can"), F.col("_slice")).otherwise(apart))
     points = sliced(
-        right.filter(F.col(right_time).isNotNull()).select(
+        right.filter(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
             key, right_time, payload.alias("_hit")
         ),
         right_time,
-    ).withColumn("_at", F.col(right_time).cast("timestamp"))
+    )
 
     last_of_slice = points.groupBy(key, "_slice").agg(F.max("_hit").alias("_hit"))
-    wanted = facts.select(key, "_slice").distinct()
+    wanted = facts.filter("_can").select(key, "_slice").distinct()
     earlier = (
         Window.partitionBy(key)
         .orderBy("_slice")
@@ -76,16 +130,13 @@ def asof_join(
         .orderBy(F.col("_at").asc_nulls_first(), "_is_left", F.col("_hit").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = (
-        stacked.withColumn("_found", F.last("_hit", ignorenulls=True).over(upto))
-        .filter("_is_left = 1")
-    )
+    newest = F.last("_hit", ignorenulls=True).over(upto)
+    found = stacked.withColumn("_found", newest).filter("_is_left = 1")
     if max_age_seconds is not None:
-        age = F.unix_timestamp(F.col("_at")) - F.unix_timestamp(F.col("_found._rt").cast("timestamp"))
+        age = F.unix_timestamp("_at") - F.unix_timestamp(F.col("_found._rt").cast("timestamp"))
         found = found.withColumn("_found", F.when(age <= max_age_seconds, F.col("_found")))
-    matched = found.select(
+    return found.select(
         *[F.col(c) for c in names],
         F.col("_found._rt").alias(f"matched_{right_time}"),
         *[F.col(f"_found.{c}").alias(c) for c in columns],
     )
-    return matched.unionByName(apart, allowMissingColumns=True)

@@ -21,6 +21,7 @@ from marketlake.operators import contract as contract_ops
 from marketlake.operators import drift, gates, profile, shape, skew
 from marketlake.operators.adjust import back_adjust, back_adjust_as_known
 from marketlake.operators.asof import asof_join as asof
+from marketlake.operators.asof import depth_bounds
 from marketlake.plans import analytics, dimensions, facts, lineage, reports, staging
 from marketlake.sources import landing, messages
 from marketlake.streaming import routing, windows
@@ -388,6 +389,31 @@ def asof_join_max_age(m: Market) -> DataFrame:
     return joined.select("action_id", ntz("matched_bar_ts", "bar_ts"), "close")
 
 
+@query
+def asof_join_hot_key(m: Market) -> DataFrame:
+    """The line of the same status that was shipped last before each order.
+
+    Two statuses hold nearly all rows, so slices of equal depth spread them.
+    """
+    orders = m.tables.read("orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("ordered")
+    )
+    lines = m.tables.read("lineitem").select(
+        F.col("l_linestatus").alias("status"),
+        F.col("l_shipdate").alias("shipped"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
+        "l_quantity",
+    )
+    day = 86_400
+    bounds = m.stored(
+        depth_bounds(orders, lines, "status", "ordered", "shipped", cell_seconds=day), "bounds"
+    )
+    joined = asof(
+        orders, lines, "status", "ordered", "shipped", "line", ["line", "l_quantity"], slice_seconds=day, bounds=bounds
+    )
+    return joined.select("o_orderkey", "status", ntz("matched_shipped", "shipped"), "line", "l_quantity")
+
+
 @query
 def label_future(m: Market) -> DataFrame:
     return m.labels.select(*GRAIN, ntz("event_timestamp"), ntz("created_ts"), "label")

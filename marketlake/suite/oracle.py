@@ -521,6 +521,14 @@ oracle(
         CASE WHEN announced_ts - bar_ts <= INTERVAL 2 DAY THEN "close" END AS "close"
     FROM ({_ASOF})""",
 )
+oracle(
+    "asof_join_hot_key",
+    """SELECT o_orderkey, o_orderstatus AS status, shipped, line, l_quantity
+    FROM orders ASOF LEFT JOIN (
+        SELECT l_linestatus, l_shipdate AS shipped, max(l_orderkey * 8 + l_linenumber) AS line,
+            max_by(l_quantity, l_orderkey * 8 + l_linenumber) AS l_quantity
+        FROM lineitem GROUP BY ALL) ON o_orderstatus = l_linestatus AND o_orderdate >= shipped""",
+)
 oracle(
     "label_future",
     """SELECT ticker_id, trade_date, CAST(trade_date AS TIMESTAMP) AS event_timestamp,

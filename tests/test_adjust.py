@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.adjust import back_adjust, back_adjust_as_known
 from marketlake.plans.facts import price_factors
+from tests.conftest import plan_of
 
 PRICES = "t string, d date, close double"
 ACTIONS = "t string, x date, f double"
@@ -94,3 +96,26 @@ def test_bad_factors_and_missing_keys_in_both_variants(frame):
         assert df.columns == ["k", "d", "p", "adj_close"]
         got = {(r.k, str(r.d)): r.adj_close for r in df.collect()}
         assert {k: v and round(v, 6) for k, v in got.items()} == want
+
+
+def test_prices_are_planned_once_and_stay_partitioned_by_key(spark, tmp_path):
+    spark.range(200).selectExpr(
+        "cast(if(id % 9 = 0, null, id % 7) as string) k", "date_add(date'2025-01-01', cast(id as int)) d", "id * 1.0D p"
+    ).write.parquet(f"{tmp_path}/prices")
+    spark.range(20).selectExpr(
+        "cast(id % 7 as string) k", "date_add(date'2025-02-01', cast(id as int)) ex", "2.0D f", "date'2025-01-20' known"
+    ).write.parquet(f"{tmp_path}/actions")
+    prices, actions = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("prices", "actions"))
+    after = Window.partitionBy("k").orderBy("d")
+    for df in (
+        back_adjust(prices, actions, "k", "d", "p", "ex", "f"),
+        back_adjust_as_known(prices, actions, "k", "d", "p", "ex", "f", "known"),
+    ):
+        known = df.withColumn("before", F.lag("adj_close").over(after))
+        optimized = known._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("Relation [k#") == 2  # prices and actions, each once
+        plan = plan_of(known)
+        adjusted = plan[: plan.index("Union")]
+        # one shuffle by key serves the adjustment and the window after it
+        assert adjusted.count("Exchange hashpartitioning(k#") == 1
+        assert known.count() == 200

@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
-from marketlake.operators.asof import asof_join
+from marketlake.operators.asof import asof_join, depth_bounds
 
 LEFT = "id int, k string, ts timestamp"
 RIGHT = "k string, rt timestamp, made timestamp, v int"
@@ -67,3 +68,53 @@ def test_missing_keys_match_nothing(frame):
     left = frame(LEFT, [(1, None, "2025-01-02 00:00:00"), (2, "a", "2025-01-02 00:00:00"), (3, None, None)])
     right = frame(RIGHT, [(None, "2025-01-01 00:00:00", "2025-01-01 00:00:00", 7)])
     assert {r.id: r.v for r in join(left, right).collect()} == {1: None, 2: None, 3: None}
+
+
+def hot_rows(n=4000, seed=9):
+    """Half of all rows have one key, most of them within one day."""
+    rng = random.Random(seed)
+
+    def stamp():
+        day = 5 if rng.random() < 0.8 else rng.randrange(1, 28)
+        return f"2025-01-{day:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}"
+
+    def key(i):
+        return "hot" if i % 2 else f"k{rng.randrange(40)}"
+
+    left = [(i, key(i), stamp()) for i in range(n)]
+    right = [(key(i), stamp(), "2025-02-01 00:00:00", i) for i in range(n)]
+    return left, right
+
+
+def test_slices_of_equal_depth_give_the_same_rows(frame):
+    left, right = hot_rows()
+    left += [(-1, None, "2025-01-05 00:00:00"), (-2, "hot", None)]
+    left, right = frame(LEFT, left), frame(RIGHT, right)
+    bounds = depth_bounds(left, right, "k", "ts", "rt", cell_seconds=60, parts=32)
+    assert [r.k for r in bounds.select("k").collect()] == ["hot"]
+    even = join(left, right, slice_seconds=60, bounds=bounds)
+    plain = join(left, right)
+    assert sorted(map(tuple, even.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_slices_of_equal_depth_spread_a_hot_key(frame):
+    left, right = (frame(schema, rows) for schema, rows in zip((LEFT, RIGHT), hot_rows(), strict=True))
+    parts = 32
+    (row,) = depth_bounds(left, right, "k", "ts", "rt", cell_seconds=60, parts=parts).collect()
+    cells = [int(r.s) // 60 for r in left.filter("k = 'hot'").selectExpr("unix_timestamp(ts) s").collect()]
+    cells += [int(r.s) // 60 for r in right.filter("k = 'hot'").selectExpr("unix_timestamp(rt) s").collect()]
+    sizes = Counter(sum(b <= c for b in row["_bounds"]) for c in cells)
+    assert len(sizes) == len(row["_bounds"]) + 1 < parts
+    share = 8000 / parts
+    assert max(sizes.values()) <= 1.2 * share
+
+
+def test_each_side_is_planned_once_for_rows_and_once_for_summaries(spark, tmp_path):
+    for name, n in (("l", 10), ("r", 20)):
+        rows = spark.range(n).selectExpr("cast(id as string) k", "timestamp_seconds(id) t", "id m", "id v")
+        rows.write.parquet(f"{tmp_path}/{name}")
+    left, right = (spark.read.parquet(f"{tmp_path}/{name}") for name in "lr")
+    right = right.withColumnRenamed("t", "rt").withColumnRenamed("m", "made")
+    df = asof_join(left.withColumnRenamed("v", "w"), right, "k", "t", "rt", "made", ["v"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [k#") == 4
