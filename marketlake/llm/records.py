@@ -1,7 +1,9 @@
 """Length-delimited binary records of token ids, with an offset index for shuffled reads.
 
-A data file is a run of records in ascending id order; files follow each other by name.
-Everything is little-endian:
+A data file is a run of records in ascending id order. Files follow each other by the task in
+their name and, within a task, by the number of their folder; a task begins a new file once
+one holds ``FILE_BYTES``, so only a single longer record makes a larger one. Everything is
+little-endian:
 
     8 bytes  length of the body
     4 bytes  masked checksum of these 8 bytes
@@ -17,7 +19,8 @@ a Parquet table beside the data: file, number in the file, offset, size, id, tok
 
 Defined results: a null text is an empty one, so its record has the end id alone; null ids
 come first; repeated rows are records of their own; an empty table gives no records; other
-columns are never looked at. A damaged record raises.
+columns are never looked at. A damaged record raises. Very long texts are records like any
+other; a file, and with it what one task holds to read it, is bounded by bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from marketlake.llm.tokens import encoder
 MASK = 0xA282EAD8
 HEAD, SUM, BODY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 END_ID = 0
-RECORDS_PER_FILE = 8_000
+FILE_BYTES = 32 << 20
 DAMAGED = "damaged record"
 
 INDEX = "path string, record long, offset long, size long, id long, n_tokens long, before long, ids_crc32 long"
@@ -79,13 +82,26 @@ def unframe(data: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
 # --- writing ------------------------------------------------------------------------------
 
 
-def _frame_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _frame_batches(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_bytes: int
+) -> Iterator[pa.RecordBatch]:
     tokenizer = encoder(path)
     end = np.array([end_id], "<u4").tobytes()
+    place, file, held = 0, 0, 0
     for batch in batches:
-        pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        framed = [frame(key, tokenizer.encode(text) + end) for key, text in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["value"])
+        framed, files, places = [], [], []
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            framed.append(frame(key.as_py(), tokenizer.encode(text.as_py()) + end))
+            if held >= file_bytes:
+                file, held = file + 1, 0
+            held += len(framed[-1]) + 1
+            files.append(file)
+            places.append(place)
+            place += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(framed, pa.binary()), pa.array(files, pa.int32()), pa.array(places, pa.int64())],
+            ["value", "file", "place"],
+        )
 
 
 def write_records(
@@ -95,7 +111,7 @@ def write_records(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = END_ID,
-    per_file: int = RECORDS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Encode all texts and write ``path``/data and ``path``/index."""
     key = F.col(id_col).cast("long")
@@ -103,16 +119,21 @@ def write_records(
     # equal ids may be many: the hash of the text lets them spread
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    framed = in_arrow(placed, lambda b: _frame_batches(b, tokenizer_path, end_id), "value binary")
-    framed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", per_file).text(
-        f"{path}/data"
+    framed = in_arrow(
+        placed,
+        lambda b: _frame_batches(b, tokenizer_path, end_id, file_bytes),
+        "value binary, file int, place long",
     )
+    # the writer needs the rows of a file together; the order within is stated to it as well
+    ready = framed.sortWithinPartitions("file", "place").select(F.col("value").cast("string"), "file")
+    ready.write.partitionBy("file").text(f"{path}/data")
     _index(docs.sparkSession, f"{path}/data").write.parquet(f"{path}/index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files, bounded by the records that one may hold."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Whole files, bounded by bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "content")
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +165,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.parquet(f"{path}/index")
     name = F.regexp_extract
     totals = index.groupBy("path").agg(F.sum("n_tokens").alias("_tokens"))
-    # part-00012-...-c003.txt: task and running number of the file
+    # file=3/part-00012-...: number of the file in its task, and task
     order = Window.orderBy(
-        name("path", r"part-(\d+)-[^/]*$", 1).cast("int"), name("path", r"-c(\d+)\.[^/]*$", 1).cast("int")
+        name("path", r"part-(\d+)-[^/]*$", 1).cast("int"), name("path", r"/file=(\d+)/[^/]*$", 1).cast("int")
     ).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "path", F.coalesce(F.sum("_tokens").over(order), F.lit(0)).alias("_before")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +76,11 @@ def winning_rows(rows: DataFrame, winners: DataFrame) -> DataFrame:
     return placed.filter("_place = 1").select("_row.*")
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SLICE_ROWS = 1_000
 
 
 def _prepare(spark: SparkSession) -> None:
-    """Let workers find this package where the driver has it, and send texts in batches
-    that stay small when texts are long (unless the session has a batch size of its own).
+    """Let workers find this package where the driver has it.
 
     On a cluster without the package at that path, install it or send it with ``--py-files``.
     """
@@ -88,14 +88,21 @@ def _prepare(spark: SparkSession) -> None:
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
-    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own value
-        spark.conf.set(BATCH_ROWS, "1000")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark ends a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``), however
+    long its texts; slices keep the Python objects made from one at a time few as well.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with workers that find this package."""
+    """``mapInArrow`` with workers that find this package and see batches in slices."""
     _prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(_slices(batches)), schema)
 
 
 def group_in_arrow(df: DataFrame, keys: list[str], run: Callable, schema) -> DataFrame:

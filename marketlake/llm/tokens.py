@@ -4,6 +4,7 @@ A byte-level tokenizer without a normalizer never joins across a single space be
 characters that are no white space. Texts are cut there, and a word seen before takes its
 ids from memory. Other tokenizers, and texts that hold the string of an added token, are
 encoded whole. The ids are those of ``encode(text, add_special_tokens=False)`` either way.
+A line feed between two such characters is a token of its own, so texts are cut there too.
 """
 
 from __future__ import annotations
@@ -44,15 +45,23 @@ def _byte_signs() -> dict[int, str]:
 class Memory(dict):
     """Ids of words behind a lead (a space or nothing), in two generations of bounded size."""
 
-    def __init__(self, lead: str, tokenizer: Tokenizer):
+    def __init__(self, lead: str, tokenizer: Tokenizer, bare: Memory | None = None):
         super().__init__()
         self.lead, self.old, self.ends = lead, {}, {}
+        self.bare = self if bare is None else bare
         self.merge = tokenizer.model.tokenize
+        self.codes = [pack("<I", i) for i in range(tokenizer.get_vocab_size())]
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.signs = _byte_signs()
         self.sign = self.signs[32] if lead else ""
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:
+            # a single line feed is a token of its own, and a word after it has no lead; such
+            # a pair of words is hardly seen again and not kept
+            head, *rest = parts = word.split("\n")
+            if all(p and p == p.strip() for p in parts):
+                return self[head] + b"".join([self._feed() + self.bare[w] for w in rest])
         ids = self.old.get(word)
         if ids is None:
             ids = self._made(word)
@@ -62,8 +71,8 @@ class Memory(dict):
     def _made(self, word: str) -> bytes:
         if word.isalpha():
             signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            tokens = self.merge(self.sign + signs)
-            return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            codes = self.codes
+            return b"".join([codes[t.id] for t in self.merge(self.sign + signs)])
         core = word.rstrip(".,")
         if core.isalpha():  # letters, then a run of points: two parts
             end = word[len(core) :]
@@ -74,6 +83,12 @@ class Memory(dict):
         tokens = [t for part, _ in self.split(self.lead + word) for t in self.merge(part)]
         return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
+    def _feed(self) -> bytes:
+        if "\n" not in self.ends:
+            (token,) = self.merge(self.signs[10])
+            self.ends["\n"] = self.codes[token.id]
+        return self.ends["\n"]
+
     def trim(self) -> None:
         if len(self) > REMEMBERED:
             self.old = dict(self)
@@ -95,7 +110,8 @@ class Encoder:
         )
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         if self.cuts:
-            self.bare, self.spaced = Memory("", self.whole), Memory(" ", self.whole)
+            self.bare = Memory("", self.whole)
+            self.spaced = Memory(" ", self.whole, self.bare)
 
     def _slices(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut where words end; each but the first lost its space."""

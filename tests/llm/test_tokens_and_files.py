@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -134,7 +135,7 @@ def test_repeated_rows_are_dealt_over_shards(spark):
 
 def test_round_trip(odd, odd_rows, none, spark, tokenizer, tmp_path):
     path = str(tmp_path / "records")
-    records.write_records(odd, path, PATH, per_file=3)
+    records.write_records(odd, path, PATH, file_bytes=300)
     rows = records.read_index(spark, path).orderBy("start").collect()
     expected = [(key, ids_of(tokenizer, text, 0)) for key, text in odd_rows]
     assert Counter((r["id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == Counter((k, len(i), crc(i)) for k, i in expected)
@@ -208,3 +209,19 @@ def test_equal_rows_have_slots_of_their_own(spark):
     docs = spark.createDataFrame(rows_of([(1, "abc")] * 40), SCHEMA)
     rows = sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size"), F.countDistinct("slot")).collect()
     assert sorted(tuple(r) for r in rows) == [(s, 20, 5) for s in range(8)]
+
+
+def test_files_are_bounded_by_bytes_with_very_long_texts(spark, tmp_path):
+    unit = "word and more words, " * 50
+    texts = {i: unit * 10_000 for i in range(4)} | {i: unit for i in range(4, 60)}  # four of 10 MB
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    path = str(tmp_path / "long")
+    records.write_records(docs.coalesce(1), path, PATH, file_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in Path(path, "data").rglob("part-*")]
+    own = tokens.encoder(PATH)
+    expected = {i: len(own.encode(t)) // 4 + 1 for i, t in texts.items()}
+    assert max(sizes) < (1 << 20) + 2 * max(expected.values()) + 100
+    assert len(sizes) >= 5
+    rows = records.read_index(spark, path).orderBy("start").collect()
+    assert [r["id"] for r in rows] == sorted(texts)
+    assert {r["id"]: r["n_tokens"] for r in rows} == expected
