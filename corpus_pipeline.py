@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from marketlake.llm import exact_dedup, mixing, near_copies, packing, quality_rules
 from marketlake.llm.shared import documents, stored
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with linked fingerprints, the document with the smallest id."""
-    return simhash.survivors(docs)
+    """Of near copies (five-word similarity 0.8 or more), the document with the smaller id."""
+    return near_copies.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,9 +28,13 @@ class Forest:
         self.passed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         items = np.argsort(bucket, kind="stable")
         place = np.unique(bucket[items], return_inverse=True)[1]
+        self.root = None
         while len(items):
             first = np.r_[True, place[1:] != place[:-1]]
             pivots = items[first]
+            if self.root is None:
+                self.root = np.empty(n, np.int64)
+                self.root[items] = pivots[np.cumsum(first) - 1]
             below = ~first
             pivot = pivots[np.cumsum(first) - 1][below]
             items = items[below]
@@ -44,9 +48,9 @@ class Forest:
         self.child = np.lexsort((edge, parent))
         self.child_key = (parent * 128 + edge)[self.child]
 
-    def _children(self, node: np.ndarray, low: np.ndarray, high: np.ndarray):
+    def _children(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, least: int = 1):
         """Children of each node with edges low..high: (index into node, child)."""
-        start = np.searchsorted(self.child_key, node * 128 + np.maximum(low, 1))
+        start = np.searchsorted(self.child_key, node * 128 + np.maximum(low, least))
         stop = np.searchsorted(self.child_key, node * 128 + np.maximum(high, 0), side="right")
         count = np.maximum(stop - start, 0)
         which = np.repeat(np.arange(len(node)), count)
@@ -83,6 +87,34 @@ class Forest:
                     query = np.concatenate([p[0] for p in parts])
                     node = np.concatenate([p[1] for p in parts])
 
+    def earlier(self, radius: int, most: int, asked: np.ndarray):
+        """Pairs (i, j) at most ``radius`` apart, j before i in i's bucket, chunk by chunk, for
+        the asked i. A search ends at the level at which it has ``most`` hits.
+
+        Items must be sorted by bucket. A node comes before all nodes under it, so a search
+        leaves a subtree at the first node that comes later than what it asks for. Equal
+        fingerprints are children on edge 0.
+        """
+        query = np.flatnonzero(asked)
+        query = query[self.root[query] < query] if len(query) else query
+        node = self.root[query] if len(query) else query
+        found = np.zeros(len(self.prints), np.int64)
+        while len(query):
+            parts = []
+            for cut in range(0, len(query), 20 * CHUNK):
+                q, n = query[cut : cut + 20 * CHUNK], node[cut : cut + 20 * CHUNK]
+                d = distance(self.prints[q], self.prints[n])
+                hit = d <= radius
+                yield q[hit], n[hit]
+                np.add.at(found, q[hit], 1)
+                which, child = self._children(n, d - radius, d + radius, least=0)
+                before = child < q[which]
+                parts.append((q[which][before], child[before]))
+            query = np.concatenate([p[0] for p in parts])
+            node = np.concatenate([p[1] for p in parts])
+            still = found[query] < most
+            query, node = query[still], node[still]
+
 
 def components(n: int, pairs) -> np.ndarray:
     """Smallest index that each of n items reaches over the pairs."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlake.llm import bk_tree
-from marketlake.llm.shared import in_arrow, stored, winning_rows
+from marketlake.llm.shared import in_arrow, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -67,11 +67,10 @@ def _print_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE
 ) -> DataFrame:
-    """Stored table: _id and _print of each row; with ``carry`` the row itself as _row too."""
-    row = [F.struct(*docs.columns).alias("_row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("_id"), *row, F.col(text_col).alias("_text"))
+    """Stored table: _id and _print of each row."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_text"])
     schema = T.StructType([*schema.fields, T.StructField("_print", T.LongType())])
     return stored(in_arrow(rows, lambda b: _print_batches(b, size), schema), "fingerprints")
@@ -98,14 +97,17 @@ def _picked(prints: Column, bits: list[int]) -> Column:
 
 
 def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
-    """Each print with the key of every shard that it belongs to: _shard, _print."""
+    """Each row with the key of every shard that its print belongs to: _shard, _print and the
+    other columns.
+    """
+    own = prints.columns
     blocks = _blocks(list(range(64)), radius + 2)
     pairs = list(combinations(range(len(blocks)), 2))
     width = 2 * max(map(len, blocks))
     p = F.col("_print")
     fixed = [blocks[a] + blocks[b] for a, b in pairs]
     keys = [_picked(p, bits) + F.lit(i << width).cast("long") for i, bits in enumerate(fixed)]
-    dealt = prints.select(F.explode(F.array(*keys)).alias("_shard"), "_print")
+    dealt = prints.select(F.explode(F.array(*keys)).alias("_shard"), *own)
     large = stored(
         dealt.groupBy("_shard").count().filter(F.col("count") > max_shard).select("_shard"), "shards"
     )
@@ -125,7 +127,7 @@ def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> Da
         mine = F.shiftright("_shard", width) == i
         finer = parts if finer is None else F.when(mine, parts).otherwise(finer)
     # negative, so that no finer key meets a plain one
-    again = split.select((-F.explode(finer) - 1).alias("_shard"), "_print")
+    again = split.select((-F.explode(finer) - 1).alias("_shard"), *own)
     return dealt.join(large, "_shard", "left_anti").unionByName(again)
 
 
@@ -203,7 +205,8 @@ def _labelled(printed: DataFrame, radius: int, max_shard: int) -> DataFrame:
         "_print", "_first", F.coalesce("_label", "_print").alias("_label")
     )
     named = stored(named, "labels")
-    least = named.groupBy("_label").agg(F.min("_first").alias("_least"))
+    # stored, so that the join may split the prints of a very large component
+    least = stored(named.groupBy("_label").agg(F.min("_first").alias("_least")), "least_ids")
     return named.join(least, "_label")
 
 
@@ -224,20 +227,3 @@ def near_duplicates(
         F.col("_least").alias("component_id"),
     )
 
-
-def survivors(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    radius: int = RADIUS,
-    max_shard: int = MAX_SHARD,
-) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, all columns."""
-    printed = fingerprints(docs, id_col, text_col, size, carry=True)
-    labelled = _labelled(printed, radius, max_shard)
-    best = labelled.groupBy("_label").agg(F.min(F.struct(F.col("_first").isNull(), "_first", "_print")).alias("_w"))
-    winners = best.select(
-        F.col("_w._first").alias("_keep"), F.col("_w._print").alias("_kept_mark")
-    )
-    return winning_rows(printed.withColumnRenamed("_print", "_mark"), winners)

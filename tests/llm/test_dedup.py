@@ -7,9 +7,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marketlake.llm import bk_tree, exact_dedup, simhash
+from marketlake.llm import bk_tree, exact_dedup, near_copies, simhash
 
-from .conftest import SCHEMA, rows_of
+from .conftest import SCHEMA, prose, rows_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -57,7 +57,7 @@ def test_exact_survivors(odd, odd_rows, none):
 def test_survivors_of_ids_that_are_all_null(spark):
     docs = spark.createDataFrame(rows_of([(None, "a b"), (None, "A b"), (None, "c")]), SCHEMA)
     assert sorted(r["text"].lower() for r in exact_dedup.survivors(docs).collect()) == ["a b", "c"]
-    assert simhash.survivors(docs).count() == len({simhash.fingerprint(t) for t in ("a b", "c")})
+    assert near_copies.survivors(docs).count() == 2
 
 
 def plain_fingerprint(text, size=4):
@@ -97,21 +97,99 @@ def test_near_duplicates(odd, odd_rows, small, small_rows, max_shard):
     assert got(simhash.near_duplicates(small, max_shard=max_shard)) == near_expected(small_rows)
 
 
-def test_near_survivors(small, small_rows, odd, none):
-    expected = near_expected(small_rows)
-    kept = sorted(r["doc_id"] for r in simhash.survivors(small).collect())
-    assert kept == sorted({c for _, _, c in expected})
-    assert simhash.survivors(odd).columns == odd.columns
-    assert simhash.survivors(odd).count() == len({c for _, _, c in near_expected([(r["doc_id"], r["text"]) for r in odd.collect()])})
-    assert simhash.near_duplicates(none).count() == simhash.survivors(none).count() == 0
+def shingle_set(text, size=5):
+    words = (text or "").translate(LOWER).encode().split()
+    size = min(size, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def near_pairs(pairs, similarity=0.8):
+    """Places of all near copies, the earlier first, by comparing all texts."""
+    sets = [shingle_set(t) for _, t in pairs]
+    order = sorted(range(len(pairs)), key=lambda i: (pairs[i][0] is None, pairs[i][0] or 0, i))
+    found = []
+    for at, i in enumerate(order):
+        for j in order[:at]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                found.append((j, i))
+    return found
+
+
+def families(seed=3, size=60):
+    """Families of texts with a few words changed, some of them beyond a similarity of 0.8."""
+    draw, rows = random.Random(seed), []
+    for family in range(4):
+        base = prose(draw, 150).split()
+        for member in range(size):
+            words = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2, 3, 4]) if member else 0):
+                words[draw.randrange(len(words))] = f"changed{draw.randrange(10**6)}"
+            rows.append((1000 - len(rows) if family % 2 else 2000 + len(rows), " ".join(words) + f" end{len(rows)}"))
+    return rows
+
+
+@pytest.mark.parametrize("max_shard", [50_000, 40])
+def test_near_copies_against_all_pairs(spark, max_shard):
+    rows = families()
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA)
+    kept = {r["doc_id"] for r in near_copies.survivors(docs, max_shard=max_shard).collect()}
+    found = near_pairs(rows)
+    assert len(found) > 1000
+    reached = sum(not (rows[i][0] in kept and rows[j][0] in kept) for i, j in found)
+    assert reached >= 0.99 * len(found)
+    # only rows that have a near copy of smaller id go
+    assert {i for i, _ in rows} - kept <= {rows[j][0] for _, j in found}
+
+
+def test_near_copies_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    kept = {r["doc_id"] for r in near_copies.survivors(docs).collect()}
+    found = near_pairs(rows)
+    reached = sum(not (rows[i][0] in kept and rows[j][0] in kept) for i, j in found)
+    assert found and reached >= 0.9 * len(found)
+    assert {i for i, _ in rows} - kept <= {rows[j][0] for _, j in found}
+
+
+def test_near_copies_of_odd_rows(odd, odd_rows, none):
+    kept = near_copies.survivors(odd)
+    assert kept.columns == odd.columns and near_copies.survivors(none).count() == 0
+    found = near_pairs(odd_rows)
+    assert kept.count() == len(odd_rows) - len({j for _, j in found})
+
+
+def test_same_words_in_another_order_are_no_copies(spark):
+    words = prose(random.Random(8), 80).split()
+    texts = [" ".join(random.Random(i).sample(words, len(words))) for i in range(30)]
+    docs = spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)
+    assert len({near_copies.word_print(t) for t in texts}) == 1
+    assert near_copies.survivors(docs).count() == 30
 
 
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame(rows_of([(1, "a b c d e")] * 5 + [(2, "a b c d e")]), SCHEMA)
-    assert [r["doc_id"] for r in simhash.survivors(docs).collect()] == [1]
+    assert [r["doc_id"] for r in near_copies.survivors(docs).collect()] == [1]
     assert [r["doc_id"] for r in exact_dedup.survivors(docs).collect()] == [2]
 
 
+def test_searches_for_earlier_rows_miss_none_they_do_not_report():
+    draw = random.Random(2)
+    centers = [draw.getrandbits(64) for _ in range(5)]
+    near = lambda c: c ^ sum({1 << draw.randrange(64) for _ in range(draw.randint(0, 4))})
+    prints = np.array([near(draw.choice(centers)) for _ in range(200)], "<u8")
+    bucket = np.sort(np.array([draw.randrange(3) for _ in prints]))
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 5
+    for most in (1, 3, 10**6):
+        found = defaultdict(set)
+        for i, j in bk_tree.Forest(bucket, prints).earlier(5, most, np.ones(200, bool)):
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                found[a].add(b)
+        for i in range(200):
+            every = {j for j in range(i) if bucket[j] == bucket[i] and apart[i, j]}
+            assert found[i] <= every and (found[i] == every or len(found[i]) >= most)
+
+
 @pytest.mark.parametrize("spread", [3, 12, 64])
 def test_trees_connect_what_all_pairs_connect(spread):
     draw = random.Random(spread)
