@@ -87,9 +87,10 @@ class Forest:
                     query = np.concatenate([p[0] for p in parts])
                     node = np.concatenate([p[1] for p in parts])
 
-    def earlier(self, radius: int, most: int, asked: np.ndarray):
+    def earlier(self, radius: int, most: int, asked: np.ndarray, fits=None):
         """Pairs (i, j) at most ``radius`` apart, j before i in i's bucket, chunk by chunk, for
-        the asked i. A search ends at the level at which it has ``most`` hits.
+        the asked i. A search ends at the level at which it has ``most`` hits. ``fits`` takes
+        arrays i and j and tells which pairs count as hits.
 
         Items must be sorted by bucket. A node comes before all nodes under it, so a search
         leaves a subtree at the first node that comes later than what it asks for. Equal
@@ -104,7 +105,9 @@ class Forest:
             for cut in range(0, len(query), 20 * CHUNK):
                 q, n = query[cut : cut + 20 * CHUNK], node[cut : cut + 20 * CHUNK]
                 d = distance(self.prints[q], self.prints[n])
-                hit = d <= radius
+                hit = np.flatnonzero(d <= radius)
+                if fits is not None:
+                    hit = hit[fits(q[hit], n[hit])]
                 yield q[hit], n[hit]
                 np.add.at(found, q[hit], 1)
                 which, child = self._children(n, d - radius, d + radius, least=0)

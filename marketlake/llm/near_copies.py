@@ -7,11 +7,13 @@ that are found at most one stays.
 Changing one word changes five shingles, so fingerprints of shingles lie far apart long
 before the similarity falls to 0.8. The fingerprint that finds candidates is therefore
 taken over the different words of a text. It is searched as ``simhash`` does, in shards of
-BK-trees dealt by pairs of bit blocks; see there for why no pair in reach is lost.
+BK-trees dealt by pairs of bit blocks; see there for why no pair in reach is lost. What is
+in reach must also have numbers of shingles that allow the similarity, and a second
+fingerprint, of other hashes, within ``CHECK_RADIUS``.
 
 Families of thousands of copies are no reason to look at all their pairs. In the first
 round every row is compared with one earlier row near it. Rows that go are out; only rows
-that found nothing similar although their search ended early are searched again, for four
+that found nothing similar although their search ended early are searched again, for eight
 times as many candidates, among all rows that are left. Rounds end when no search of a
 staying row ended early. A pair of staying rows within the radius has then been compared.
 
@@ -41,19 +43,28 @@ from marketlake.llm.simhash import MAX_SHARD, SEED, SLICE, shard_rows
 RADIUS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
-FIRST, MORE = 1, 4  # candidates of a row in the first round, and the growth from there
+CHECK_RADIUS = 10
+FIRST, MORE = 1, 8  # candidates of a row in the first round, and the growth from there
 NARROW = 500_000  # rows of one number that may be broadcast
 
 
-def word_print(text: str | None) -> int:
-    """Bits set in over half of the hashes of the different words."""
+def word_prints(text: str | None) -> list[int]:
+    """Bits set in over half of the hashes of the different words, for two hashes."""
     words = list(set((text or "").encode().lower().split()))
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(128, np.int64)
     for at in range(0, len(words), SLICE):
-        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words[at : at + SLICE]], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        hashes = b"".join([xxhash.xxh128_digest(w, SEED) for w in words[at : at + SLICE]])
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 16), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(words), bitorder="little").view("<u8").tolist()
+
+
+def shingle_count(text: str | None, size: int = SHINGLE) -> int:
+    """Number of different shingles."""
+    words = (text or "").encode().lower().split()
+    if len(words) > SLICE:
+        return len(shingles(text, size))
+    return len(set(zip(*[words[i:] for i in range(size)], strict=False))) if len(words) >= size else min(len(words), 1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -73,16 +84,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _print_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([word_print(t) for t in batch.column("_text").to_pylist()], "<u8")
-        yield batch.drop_columns(["_text"]).append_column("_print", pa.array(prints.view("<i8")))
+        texts = batch.column("_text").to_pylist()
+        prints = np.array([word_prints(t) for t in texts], "<u8").view("<i8").reshape(-1, 2)
+        counts = [shingle_count(t, size) for t in texts]
+        rest = batch.drop_columns(["_text"]).append_column("_print", pa.array(prints[:, 0]))
+        yield rest.append_column("_check", pa.array(prints[:, 1])).append_column("_size", pa.array(counts, pa.int64()))
 
 
 # --- candidates --------------------------------------------------------------------------
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+def _search(
+    batches: Iterator[pa.RecordBatch], radius: int, most: int, similarity: float
+) -> Iterator[pa.RecordBatch]:
     got = list(batches)
     if not got:
         return
@@ -91,9 +107,15 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterat
     table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_end"))
     shard, prints, key, asked = (table.column(c).to_numpy() for c in ("_shard", "_print", "_key", "_open"))
     prints = prints.view("<u8")
+    check, size = table.column("_check").to_numpy().view("<u8"), table.column("_size").to_numpy()
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        return (low >= similarity * high) & (bk_tree.distance(check[i], check[j]) <= CHECK_RADIUS)
+
     forest = bk_tree.Forest(shard, prints)
     hits = np.zeros(len(key), np.int64)
-    for i, j in forest.earlier(radius, most, asked):
+    for i, j in forest.earlier(radius, most, asked, fits):
         np.add.at(hits, i, 1)
         for at in range(0, len(i), SLICE):
             cut = slice(at, at + SLICE)
@@ -110,13 +132,14 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterat
         )
 
 
-def candidates(rows: DataFrame, radius: int, most: int, max_shard: int) -> DataFrame:
+def candidates(rows: DataFrame, radius: int, most: int, max_shard: int, similarity: float) -> DataFrame:
     """For each open row, at most ``most`` earlier keys near it as _ys, and whether there may
-    be more as _ended. ``rows`` has _key, _id, _print, _open.
+    be more as _ended. ``rows`` has _key, _id, _print, _check, _size,
+    _open.
     """
-    own = rows.select("_print", "_key", "_id", "_open")
+    own = rows.select("_print", "_key", "_id", "_check", "_size", "_open")
     dealt = shard_rows(own, radius, max_shard).repartition("_shard")
-    found = in_arrow(dealt, lambda b: _search(b, radius, most), "_x long, _y long, _ended boolean")
+    found = in_arrow(dealt, lambda b: _search(b, radius, most, similarity), "_x long, _y long, _ended boolean")
     # a row has at most a few hits from each of its shards
     each = found.groupBy("_x").agg(F.collect_set("_y").alias("_ys"), F.bool_or("_ended").alias("_ended"))
     first = F.slice(F.sort_array("_ys"), 1, most)
@@ -161,16 +184,17 @@ def survivors(
     rows = stored(docs.select(F.struct(*docs.columns).alias("_row"), number.alias("_key")), "rows")
     text = rows.select("_key", F.col(f"_row.{text_col}").alias("_text"))
     told = rows.select("_key", F.col(f"_row.{id_col}").alias("_id"), F.col(f"_row.{text_col}").alias("_text"))
-    schema = T.StructType([told.schema["_key"], told.schema["_id"], T.StructField("_print", T.LongType())])
-    prints = stored(in_arrow(told, _print_batches, schema), "prints")
+    numbers = [T.StructField(c, T.LongType()) for c in ("_print", "_check", "_size")]
+    schema = T.StructType([told.schema["_key"], told.schema["_id"], *numbers])
+    prints = stored(in_arrow(told, lambda b: _print_batches(b, size), schema), "prints")
 
     # one row of each print is searched, the others are compared with it
-    place = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_key")
+    place = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_key", "_check", "_size")
     first = stored(prints.groupBy("_print").agg(F.min(place).alias("_first")), "first_of_print")
     one = first.select("_print", F.col("_first._key").alias("_first"))
     alike = prints.join(one, "_print").filter("_key != _first")
-    reps = first.select("_print", "_first._key", "_first._id", F.lit(True).alias("_open"))
-    near = stored(candidates(reps, radius, FIRST, max_shard), "candidates")
+    reps = first.select("_print", "_first.*", F.lit(True).alias("_open")).drop("_last")
+    near = stored(candidates(reps, radius, FIRST, max_shard, similarity), "candidates")
     pairs = near.select("_x", F.explode("_ys").alias("_y"))
     pairs = pairs.unionByName(alike.select(F.col("_key").alias("_x"), F.col("_first").alias("_y")))
     gone = [stored(confirmed(pairs, text, size, similarity), "copies")]
@@ -185,7 +209,7 @@ def survivors(
         left = prints.join(out, "_key", "left_anti")
         marked = left.join(unsure.withColumn("_open", F.lit(True)), "_key", "left")
         asked = marked.withColumn("_open", F.coalesce("_open", F.lit(False)))
-        near = stored(candidates(asked, radius, most, max_shard), "candidates")
+        near = stored(candidates(asked, radius, most, max_shard, similarity), "candidates")
         pairs = near.select("_x", F.explode("_ys").alias("_y"))
         gone.append(stored(confirmed(pairs, text, size, similarity), "copies"))
         unsure = near.filter("_ended").select(F.col("_x").alias("_key"))

@@ -127,7 +127,7 @@ def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> Da
         mine = F.shiftright("_shard", width) == i
         finer = parts if finer is None else F.when(mine, parts).otherwise(finer)
     # negative, so that no finer key meets a plain one
-    again = split.select((-F.explode(finer) - 1).alias("_shard"), *own)
+    again = split.select(F.explode(F.transform(finer, lambda key: -key - 1)).alias("_shard"), *own)
     return dealt.join(large, "_shard", "left_anti").unionByName(again)
 
 
