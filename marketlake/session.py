@@ -35,6 +35,18 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bucketed_session(spark: SparkSession) -> SparkSession:
+    """Return a sibling session in which tables bucketed by a part of the join keys are joined
+    as they lie.
+
+    Spark otherwise shuffles both sides of a join on (ticker, date) that are partitioned by
+    ticker alone. It is right to leave them where a key's rows are bounded, as bars are.
+    """
+    sibling = pin_utc(spark.newSession())
+    sibling.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return sibling
+
+
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """Return a sibling session whose streaming state is sized to the cluster.
 

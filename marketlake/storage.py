@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RUN_LOG_SCHEMA = (
     "run_id string, pipeline string, start_time string, end_time string, status string, "
@@ -133,6 +135,43 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: str, fmt: str =
     )
 
 
+def _layout_file(path: str) -> str:
+    return f"{path}.layout"
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, sort_by: list[str]) -> None:
+    """Replace a table by one in ``buckets`` files; the rows of a key lie in one file, sorted.
+
+    Parquet itself does not tell of buckets, so their number and columns are kept beside the
+    table, and ``read_bucketed`` declares them to the session's catalogue.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, key).sortWithinPartitions(key, *sort_by)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    placed.write.bucketBy(buckets, key).sortBy(key, *sort_by).option("path", staged).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    swap_in(spark, staged, path)
+    layout = spark.createDataFrame(
+        [(df.schema.json(), key, buckets, sort_by)], "schema string, key string, buckets int, sort_by array<string>"
+    )
+    layout.coalesce(1).write.mode("overwrite").json(_layout_file(path))
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_bucketed``, known by the session to be partitioned by its key."""
+    layout = spark.read.schema("schema string, key string, buckets int, sort_by array<string>").json(_layout_file(path))
+    (row,) = layout.collect()
+    columns = StructType.fromJson(json.loads(row["schema"])).toDDL()
+    name = f"bucketed_{uuid.uuid4().hex}"
+    order = ", ".join(f"`{c}`" for c in [row["key"], *row["sort_by"]])
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') "
+        f"CLUSTERED BY (`{row['key']}`) SORTED BY ({order}) INTO {row['buckets']} BUCKETS"
+    )
+    return spark.table(name)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Write a report as one CSV file with a header; meant for aggregated rows only."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -22,7 +22,8 @@ from marketlake.operators import drift, gates, profile, shape, skew
 from marketlake.operators.adjust import back_adjust, back_adjust_as_known
 from marketlake.operators.asof import asof_join as asof
 from marketlake.operators.asof import depth_bounds
-from marketlake.plans import analytics, dimensions, facts, lineage, reports, staging
+from marketlake.plans import analytics, bucketed, dimensions, facts, incremental, lineage, reports, staging
+from marketlake.plans.chain import Inputs
 from marketlake.sources import landing, messages
 from marketlake.streaming import routing, windows
 from marketlake.streaming.parse import EVENT_SCHEMA, parse_events
@@ -439,6 +440,90 @@ def training_set(m: Market) -> DataFrame:
     )
 
 
+# --- the chain by deliveries -----------------------------------------------------------------
+
+FIRST_DAYS = "1998-10-15"
+CORRECTED = "vendor = 'R' AND trade_date BETWEEN '1995-03-01' AND '1995-03-07'"
+
+
+def _delivered(m: Market, first: bool, actions: bool) -> Inputs:
+    """What comes first, or what comes next: later days and corrections of a past week."""
+    at_first = F.col("trade_date") <= FIRST_DAYS
+    bars = m.tables.raw_bars()
+    late = F.expr(CORRECTED)
+    flow = m.tables.raw_flow().withColumn("_ingested_at", F.lit("2002-01-01"))
+    known = F.col("ex_date") <= "1998-06-30"
+    listed = m.tables.actions()
+    return Inputs(
+        [bars.filter(at_first & ~late if first else ~at_first | late)],
+        flow.filter(at_first if first else ~at_first),
+        listed.filter(known) if first else (listed.filter(~known) if actions else None),
+        m.tickers if first else None,
+    )
+
+
+def _deliveries(m: Market, actions: bool):
+    """The lake after both deliveries, and the files of its tables after the first."""
+    root = storage.work_dir(m.spark, "lake")
+
+    def files(name: str) -> DataFrame:
+        table = storage.read_table(m.spark, f"{root}/{name}")
+        return table.select(F.date_format("trade_date", "yyyy").alias("year"), F.input_file_name().alias("file")).distinct()
+
+    lake = incremental.run_increment(m.spark, root, _delivered(m, True, actions), FIRST_LOAD, period="yyyy")
+    before = {n: m.stored(files(n), n) for n in ("feat_ticker_daily", "ml_ticker_label")}
+    incremental.run_increment(m.spark, root, _delivered(m, False, actions), SECOND_LOAD, period="yyyy")
+    return lake, before, files
+
+
+@query
+def incremental_chain(m: Market) -> DataFrame:
+    """Fact, features and label after two deliveries: what one rebuild of all rows gives."""
+    lake, _, _ = _deliveries(m, actions=True)
+    facts_, features = lake.read("fact_daily_price"), lake.read("feat_ticker_daily")
+    labels = lake.read("ml_ticker_label").select(*GRAIN, "label")
+    both = facts_.join(features.select(*GRAIN, *analytics.DAILY_FEATURES), GRAIN, "left").join(labels, GRAIN, "left")
+    return both.select(
+        *GRAIN,
+        "close",
+        rounded("adj_close"),
+        *[rounded(f) for f in analytics.DAILY_FEATURES],
+        "label",
+    )
+
+
+@query
+def bucketed_training(m: Market) -> DataFrame:
+    """Wide table, features and label joined from tables in buckets of tickers."""
+    root = storage.work_dir(m.spark, "buckets")
+    tables = bucketed.build(
+        m.spark, root, m.staged, m.tables.raw_flow(), m.dim_ticker, m.tables.actions(), buckets=8
+    )
+    rows = bucketed.wide_training(tables)
+    return rows.select(
+        *GRAIN,
+        rounded("adj_close"),
+        rounded("pct_change_5d"),
+        "foreign_net_value",
+        "exchange",
+        rounded("f_ticker_volatility_20d"),
+        rounded("f_ticker_foreign_net_ratio_10d"),
+        "label",
+    )
+
+
+@query
+def incremental_reach(m: Market) -> DataFrame:
+    """Which years of features and labels a delivery without actions writes again."""
+    _, before, files = _deliveries(m, actions=False)
+    told = []
+    for name, old in before.items():
+        found = files(name).join(old.withColumn("kept", F.lit(True)), ["year", "file"], "left")
+        years = found.groupBy("year").agg(F.bool_and(F.coalesce("kept", F.lit(False))).alias("kept"))
+        told.append(years.select(F.lit(name).alias("table_name"), "year", "kept"))
+    return reduce(DataFrame.unionByName, told)
+
+
 # --- monitoring ---------------------------------------------------------------------------------
 
 

@@ -534,6 +534,44 @@ oracle(
     """SELECT ticker_id, trade_date, CAST(trade_date AS TIMESTAMP) AS event_timestamp,
         CAST(known AS TIMESTAMP) + INTERVAL '15:10:00' AS created_ts, label FROM labels""",
 )
+oracle(
+    "incremental_chain",
+    """SELECT f.ticker_id, f.trade_date, f."close", round(f.adj_close, 4) AS adj_close,
+        round(f_ticker_return_5d, 4) AS f_ticker_return_5d,
+        round(f_ticker_volatility_20d, 4) AS f_ticker_volatility_20d,
+        round(f_ticker_ma20_gap, 4) AS f_ticker_ma20_gap,
+        round(f_ticker_foreign_net_ratio_10d, 4) AS f_ticker_foreign_net_ratio_10d, label
+    FROM fact f LEFT JOIN features USING (ticker_id, trade_date)
+    LEFT JOIN labels l ON l.ticker_id = f.ticker_id AND l.trade_date = f.trade_date""",
+)
+oracle(
+    "bucketed_training",
+    """SELECT o.ticker_id, o.trade_date, round(adj_close, 4) AS adj_close, round(pct_change_5d, 4) AS pct_change_5d,
+        foreign_net_value, exchange, round(f_ticker_volatility_20d, 4) AS f_ticker_volatility_20d,
+        round(f_ticker_foreign_net_ratio_10d, 4) AS f_ticker_foreign_net_ratio_10d, label
+    FROM obt o JOIN features USING (ticker_id, trade_date)
+    LEFT JOIN labels l ON l.ticker_id = o.ticker_id AND l.trade_date = o.trade_date""",
+)
+oracle(
+    "incremental_reach",
+    """WITH changes AS (
+        SELECT ticker_id, trade_date,
+            trade_date > DATE '1998-10-15'
+                OR (vendor = 'R' AND trade_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-07') AS new,
+            row_number() OVER (PARTITION BY ticker_id ORDER BY trade_date) AS n
+        FROM staged),
+    features_of AS (
+        SELECT year(c.trade_date) AS y, bool_or(d.new) AS written
+        FROM changes c JOIN changes d ON d.ticker_id = c.ticker_id AND d.n BETWEEN c.n - 20 AND c.n
+        GROUP BY y),
+    labels_of AS (
+        SELECT year(c.trade_date) AS y, bool_or(d.new) AS written
+        FROM changes c JOIN changes d ON d.ticker_id = c.ticker_id AND d.n BETWEEN c.n AND c.n + 3
+        GROUP BY y)
+    SELECT 'feat_ticker_daily' AS table_name, CAST(y AS VARCHAR) AS year, NOT written AS kept FROM features_of
+    UNION ALL
+    SELECT 'ml_ticker_label', CAST(y AS VARCHAR), NOT written FROM labels_of""",
+)
 oracle(
     "label_balance",
     """SELECT count(*) AS total, count(*) FILTER (label = 1) AS positive,
