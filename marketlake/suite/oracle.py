@@ -554,7 +554,7 @@ oracle(
 )
 oracle(
     "incremental_reach",
-    """WITH changes AS (
+    """SELECT * FROM (WITH changes AS (
         SELECT ticker_id, trade_date,
             trade_date > DATE '1998-10-15'
                 OR (vendor = 'R' AND trade_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-07') AS new,
@@ -570,7 +570,7 @@ oracle(
         GROUP BY y)
     SELECT 'feat_ticker_daily' AS table_name, CAST(y AS VARCHAR) AS year, NOT written AS kept FROM features_of
     UNION ALL
-    SELECT 'ml_ticker_label', CAST(y AS VARCHAR), NOT written FROM labels_of""",
+    SELECT 'ml_ticker_label', CAST(y AS VARCHAR), NOT written FROM labels_of)""",
 )
 oracle(
     "label_balance",
