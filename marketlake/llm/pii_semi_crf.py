@@ -128,40 +128,28 @@ def regions(text: str) -> Iterator[tuple[int, int, list[str]]]:
         i += 1
 
 
-def _admits(tokens: list[str], whole: str) -> list[int]:
-    """Labels that a span of these tokens may have."""
-    n = sum(map(str.isdigit, whole))
-    first, last = tokens[0], tokens[-1]
-    out = []
-    if first.isalnum() and last.isalpha() and len(tokens) >= 5 and SIGNED.search(whole):
-        if re.search(r"(?i)@|\bat\b", whole):
-            out.append(1)
-    if n >= 4 and len(tokens) >= 7 and first.isalnum() and last.isalnum():
-        if all(t in ".:[]()" or len(t) <= 4 and HEXES.issuperset(t) for t in tokens):
-            out.append(2)
-    if 13 <= n <= 19 and first.isdigit() and last.isdigit():
-        if all(t.isdigit() or t == "-" for t in tokens):
-            out.append(3)
-    if 7 <= n <= 15 and (first.isdigit() or first in "+(") and last.isdigit():
-        if all(t.isdigit() or t in "+().-/" for t in tokens):
-            out.append(4)
-    return out
+def _mail_like(whole: str) -> bool:
+    return bool(SIGNED.search(whole) and re.search(r"(?i)@|\bat\b", whole))
 
 
-def _announced(before: list[str], kind: str) -> bool:
-    return any(w in ANNOUNCE[kind] for chunk in before for w in re.findall("[a-z]+", chunk))
+@lru_cache(maxsize=65_536)
+def _around(before: tuple[str, ...], kind: str) -> tuple[str, ...]:
+    """Features of the chunks before a span; the same for all spans that begin at a token."""
+    words = [w for chunk in before for w in re.findall("[a-z]+", chunk)]
+    told = [f"announced:{any(w in ANNOUNCE[kind] for w in words)}"]
+    return (*told, "other code") if any(w in OTHER for w in words) else tuple(told)
 
 
-def span_features(label: int, whole: str, tokens: list[str], before: list[str], left: str, right: str) -> list[str]:
+def span_features(
+    label: int, whole: str, tokens: list[str], before: tuple[str, ...], left: str, right: str
+) -> list[str]:
     """Features of a whole span: its text and tokens, the chunks before, its neighbours."""
     kind = KINDS[label - 1]
     digits = _digits(whole)
     groups = [len(g) for g in re.findall("[0-9]+", whole)]
     low = whole.lower()
     own = ["always", f"tokens:{min(len(tokens) // 3, 5)}", f"digits:{min(len(digits), 20)}"]
-    own += [f"announced:{_announced(before, kind)}"]
-    if any(w in OTHER for chunk in before for w in re.findall("[a-z]+", chunk)):
-        own.append("other code")
+    own += _around(before, kind)
     if left and not left.isspace():
         own.append("stuck left" if left.isalnum() or left in "#$%*_/=" else "sign left")
     if right and not right.isspace():
@@ -198,6 +186,9 @@ def spans_of(
         of_chunk += [len(words)] * len(inside)
         words.append(chunk[0].lower())
     names = [t[0] for t in tokens]
+    digit = [t.isdigit() for t in names]
+    digits = [sum(map(str.isdigit, t)) for t in names]
+    mails = SIGNED.search(text, start, stop) is not None
     parts = []
     for i, t in enumerate(tokens):
         kind = "digits" if t[0].isdigit() else "letters" if t[0].isalpha() else "sign"
@@ -205,14 +196,31 @@ def spans_of(
         parts.append((i, i + 1, OUT, kept([f"out {kind}", f"out {kind} {min(len(t[0]), 6)}"])))
         if kind == "sign" and t[0] not in "+(":
             continue
-        near = words[max(0, of_chunk[i] - 3) : of_chunk[i]]
+        near = tuple(words[max(0, of_chunk[i] - 3) : of_chunk[i]])
+        n, dotted, ip, card, phone = 0, False, True, digit[i], digit[i] or t[0] in "+("
         for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
             if j > i + 1 and tokens[j - 1].start() - tokens[j - 2].end() > 1:
                 break  # at most one space between the tokens of a span
+            last = names[j - 1]
+            n += digits[j - 1]
+            dotted |= last in ".:"
+            ip &= last in ".:[]()" or len(last) <= 4 and HEXES.issuperset(last)
+            card &= (digit[j - 1] or last == "-") and n <= 19
+            phone &= (digit[j - 1] or last in "+().-/") and n <= 15
+            if not (mails or ip or card or phone):
+                break  # no longer span has a label either
+            labels = []
+            if mails and t[0].isalnum() and last.isalpha() and j - i >= 5 and _mail_like(text[t.start() : tokens[j - 1].end()]):
+                labels.append(1)
+            if ip and dotted and n >= 4 and j - i >= 7 and t[0].isalnum() and last.isalnum():
+                labels.append(2)
+            if card and n >= 13 and digit[j - 1]:
+                labels.append(3)
+            if phone and n >= 7 and digit[j - 1]:
+                labels.append(4)
             a, b = t.start(), tokens[j - 1].end()
-            whole = text[a:b]
-            for y in _admits(names[i:j], whole):
-                own = span_features(y, whole, names[i:j], near, text[a - 1 : a] if a else "", text[b : b + 1])
+            for y in labels:
+                own = span_features(y, text[a:b], names[i:j], near, text[a - 1 : a] if a else "", text[b : b + 1])
                 parts.append((i, j, y, kept(own)))
     return tokens, parts
 
