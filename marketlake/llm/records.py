@@ -42,6 +42,7 @@ MASK = 0xA282EAD8
 HEAD, SUM, BODY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 END_ID = 0
 FILE_BYTES = 32 << 20
+REMEMBERED = 500_000  # words a worker keeps with their ids
 DAMAGED = "damaged record"
 
 INDEX = "path string, record long, offset long, size long, id long, n_tokens long, before long, ids_crc32 long"
@@ -85,7 +86,7 @@ def unframe(data: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
 def _frame_batches(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_bytes: int
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer = encoder(path)
+    tokenizer = encoder(path, REMEMBERED)
     end = np.array([end_id], "<u4").tobytes()
     place, file, held = 0, 0, 0
     for batch in batches:

@@ -45,12 +45,13 @@ def _byte_signs() -> dict[int, str]:
 class Memory(dict):
     """Ids of words behind a lead (a space or nothing), in two generations of bounded size."""
 
-    def __init__(self, lead: str, tokenizer: Tokenizer, bare: Memory | None = None):
+    def __init__(self, lead: str, tokenizer: Tokenizer, size: int, bare: Memory | None = None):
         super().__init__()
+        self.size = size
         self.lead, self.old, self.ends = lead, {}, {}
         self.bare = self if bare is None else bare
         self.merge = tokenizer.model.tokenize
-        self.codes = [pack("<I", i) for i in range(tokenizer.get_vocab_size())]
+        self.codes = [pack("<I", i) for i in range(max(tokenizer.get_vocab().values()) + 1)]
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.signs = _byte_signs()
         self.sign = self.signs[32] if lead else ""
@@ -61,10 +62,17 @@ class Memory(dict):
             # a pair of words is hardly seen again and not kept
             head, *rest = parts = word.split("\n")
             if all(p and p == p.strip() for p in parts):
-                return self[head] + b"".join([self._feed() + self.bare[w] for w in rest])
+                return self[head] + b"".join([self._end("\n") + self.bare[w] for w in rest])
         ids = self.old.get(word)
         if ids is None:
-            ids = self._made(word)
+            core = word.rstrip(".,")
+            if len(core) < len(word) and core.isalpha():  # letters, then a run of points: two parts
+                seen = core in self
+                ids = self[core] + self._end(word[len(core) :])
+                if not seen:  # a rare word is hardly seen again with the same points
+                    return ids
+            else:
+                ids = self._made(word)
         self[word] = ids
         return ids
 
@@ -73,24 +81,18 @@ class Memory(dict):
             signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
             codes = self.codes
             return b"".join([codes[t.id] for t in self.merge(self.sign + signs)])
-        core = word.rstrip(".,")
-        if core.isalpha():  # letters, then a run of points: two parts
-            end = word[len(core) :]
-            if end not in self.ends:
-                tokens = self.merge(end)
-                self.ends[end] = pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-            return self[core] + self.ends[end]
         tokens = [t for part, _ in self.split(self.lead + word) for t in self.merge(part)]
         return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def _feed(self) -> bytes:
-        if "\n" not in self.ends:
-            (token,) = self.merge(self.signs[10])
-            self.ends["\n"] = self.codes[token.id]
-        return self.ends["\n"]
+    def _end(self, signs: str) -> bytes:
+        """Ids of a run of points, or of the line feed."""
+        if signs not in self.ends:
+            tokens = self.merge(self.signs[10] if signs == "\n" else signs)
+            self.ends[signs] = pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return self.ends[signs]
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
             self.ends.clear()
@@ -99,7 +101,7 @@ class Memory(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.whole = Tokenizer.from_file(path)
         before = self.whole.pre_tokenizer
         self.cuts = (
@@ -110,8 +112,8 @@ class Encoder:
         )
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         if self.cuts:
-            self.bare = Memory("", self.whole)
-            self.spaced = Memory(" ", self.whole, self.bare)
+            self.bare = Memory("", self.whole, remembered)
+            self.spaced = Memory(" ", self.whole, remembered, self.bare)
 
     def _slices(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut where words end; each but the first lost its space."""
@@ -140,6 +142,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per worker process, file and size of the memory of words."""
+    return Encoder(path, remembered)

@@ -31,10 +31,9 @@ def crc(ids):
 
 def test_encoder_equals_the_library(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "LONG", 9)
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
     draw = random.Random(4)
     signs = ["a", "B", " ", " ", "\n", "\t", "'s", "é", "1", "23", "..", ",", "日本", "　", "\xa0", "\x1c", "<|endoftext|>", "!", "'", "²", "'ll", "word", "word."]
-    own = tokens.Encoder(PATH)
+    own = tokens.Encoder(PATH, 50)
     for _ in range(5000):
         text = "".join(draw.choices(signs, k=draw.randint(0, 20)))
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(tokenizer, text, 0)[:-1], text
