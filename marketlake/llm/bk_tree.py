@@ -18,9 +18,11 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """One tree per bucket. The fingerprints of a bucket are all different."""
+    """One tree per bucket. ``links`` asks that the fingerprints of a bucket all differ, and
+    needs the distances met while building, which are kept unless said otherwise.
+    """
 
-    def __init__(self, bucket: np.ndarray, prints: np.ndarray):
+    def __init__(self, bucket: np.ndarray, prints: np.ndarray, keep: bool = True):
         self.prints = prints
         n = len(prints)
         parent = np.full(n, -1, np.int64)
@@ -39,7 +41,8 @@ class Forest:
             pivot = pivots[np.cumsum(first) - 1][below]
             items = items[below]
             apart = distance(prints[items], prints[pivot])
-            self.passed.append((items, pivot, apart))
+            if keep:
+                self.passed.append((items, pivot, apart))
             order = np.lexsort((apart, pivot))
             items, pivot, apart = items[order], pivot[order], apart[order]
             place = pivot * 128 + apart

@@ -113,7 +113,7 @@ def _search(
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         return (low >= similarity * high) & (bk_tree.distance(check[i], check[j]) <= CHECK_RADIUS)
 
-    forest = bk_tree.Forest(shard, prints)
+    forest = bk_tree.Forest(shard, prints, keep=False)
     hits = np.zeros(len(key), np.int64)
     for i, j in forest.earlier(radius, most, asked, fits):
         np.add.at(hits, i, 1)

@@ -77,13 +77,18 @@ def winning_rows(rows: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 SLICE_ROWS = 1_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _prepare(spark: SparkSession) -> None:
-    """Let workers find this package where the driver has it.
+    """Let workers find this package where the driver has it, and end batches at 4 MB.
 
     On a cluster without the package at that path, install it or send it with ``--py-files``.
+    Spark reads the size of batches from the session when a query runs, so it is set there,
+    unless the session has one of its own in place of Spark's 64 MB.
     """
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, "4m")
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
@@ -91,8 +96,8 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spark ends a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``), however
-    long its texts; slices keep the Python objects made from one at a time few as well.
+    """Spark ends a batch by its bytes, however long its texts; slices keep the Python objects
+    made from many short texts few as well.
     """
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
