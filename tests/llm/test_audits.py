@@ -104,8 +104,8 @@ def test_sketch_never_clears_a_repeat_and_clears_most_others():
     for part in parts:
         for number, hit, twice in zip(*filter_audit._slices_hit(part, cells, hashes).to_pydict().values(), strict=True):
             at = number * filter_audit.SLICE
-            counts[at + np.frombuffer(hit, "<u2")] += 1
-            counts[at + np.frombuffer(twice, "<u2")] += 1
+            for offsets in (hit, twice):
+                counts[at + np.frombuffer(offsets, "<u2").astype(np.int64)] += 1
     bits = np.packbits(counts > 1, bitorder="little")
     assert filter_audit.possible_repeat(often, bits, hashes).all()
     assert filter_audit.possible_repeat(once, bits, hashes).mean() < 0.1

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlake.llm import mixing
 
@@ -71,6 +72,41 @@ def test_uses_follow_the_quota(skewed, budget):
     assert {r["source"]: round(r["weight"], 9) for r in used} == {s: round(w, 9) for s, w in mix.weights.items() if any(u["source"] == s for u in used)}
 
 
+def test_uses_are_the_plain_block_permutations(skewed):
+    """Blocks and places as a plain program lays them out, from the same hashes."""
+    docs = skewed.withColumn("_n", F.size(F.split(F.btrim("text"), " "))).select(
+        "doc_id", "source", "_n", F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64(F.lit(0), "doc_id", F.xxhash64("text")), F.lit(1024)).alias("slot")
+    )
+    given = docs.collect()
+    mix = mixing.temperature(tokens_of(skewed), 0.97, 2.0, 3000)
+    wanted = set()
+    spark = skewed.sparkSession
+    for source, quota in mix.quota.items():
+        mine = [r for r in given if r["source"] == source]
+        full, left = divmod(quota, mix.tokens[source])
+        for epoch in range(full + 1):
+            keys = spark.createDataFrame([(r["doc_id"], r["tie"], r["slot"], r["_n"], source, epoch) for r in mine], "d long, t long, s long, n int, source string, epoch int")
+            laid = keys.select("d", "n", F.xxhash64(F.lit(1), "source", "epoch", "s").alias("b"), F.xxhash64(F.lit(2), "epoch", "d", "t").alias("p")).collect()
+            blocks = defaultdict(list)
+            for r in laid:
+                blocks[r["b"]].append(r)
+            room = left if epoch == full else None
+            for b in sorted(blocks):
+                rows = sorted(blocks[b], key=lambda r: r["p"])
+                if room is None or sum(r["n"] for r in rows) <= room:
+                    wanted |= {(r["d"], epoch, b, r["p"]) for r in rows}
+                    room = room if room is None else room - sum(r["n"] for r in rows)
+                    continue
+                for r in rows:
+                    if r["n"] > room:
+                        break
+                    room -= r["n"]
+                    wanted.add((r["d"], epoch, b, r["p"]))
+                break
+    used = mixing.mixture(skewed, budget=3000).collect()
+    assert {(r["doc_id"], r["epoch"], r["block"], r["place"]) for r in used} == wanted and len(used) == len(wanted)
+
+
 def test_default_budget_uses_every_row(skewed, odd):
     for docs in (skewed, odd):
         rows = mixing.mixed_rows(docs)
