@@ -11,7 +11,8 @@ The field is fitted to examples written from templates, by gradient steps on its
 likelihood, once per driver process and always to the same weights.
 
 Defined results: a null text is an empty one and has no spans; repeated rows each have
-theirs; an empty table gives no rows; other columns are never looked at. Spans are in code
+theirs; an empty table gives no rows; other columns are never looked at. The search of a very
+long text is linear in its tokens, at most ``LONGEST`` ends each. Spans are in code
 points, the end exclusive. An added span never overlaps one of the rules.
 """
 
@@ -91,6 +92,7 @@ CHUNK = re.compile(r"\S+")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 SIGNED = re.compile(r"(?i)@|[\[({](?:at|dot|\.|@)[\])}]|\bdot\b")
 AROUND = 5
+SEEN = 20_000
 HEXES = frozenset("0123456789abcdefABCDEF")
 # Words that announce each kind, and codes that are none of them.
 ANNOUNCE = {
@@ -189,6 +191,7 @@ def spans_of(
     digit = [t.isdigit() for t in names]
     digits = [sum(map(str.isdigit, t)) for t in names]
     mails = SIGNED.search(text, start, stop) is not None
+    seen: dict[tuple, Any] = {}  # equal spans between equal neighbours have equal features
     parts = []
     for i, t in enumerate(tokens):
         kind = "digits" if t[0].isdigit() else "letters" if t[0].isalpha() else "sign"
@@ -220,8 +223,12 @@ def spans_of(
                 labels.append(4)
             a, b = t.start(), tokens[j - 1].end()
             for y in labels:
-                own = span_features(y, text[a:b], names[i:j], near, text[a - 1 : a] if a else "", text[b : b + 1])
-                parts.append((i, j, y, kept(own)))
+                told = (y, text[a:b], near, text[a - 1 : a] if a else "", text[b : b + 1])
+                if told not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[told] = kept(span_features(y, text[a:b], names[i:j], near, *told[3:]))
+                parts.append((i, j, y, seen[told]))
     return tokens, parts
 
 
