@@ -131,6 +131,33 @@ def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> Da
     return dealt.join(large, "_shard", "left_anti").unionByName(again)
 
 
+def first_meeting(shard: np.ndarray, one: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each shard is the first of all shards of ``shard_rows`` in which two prints meet."""
+
+    def mask(bits: list[int]) -> np.uint64:
+        return np.uint64(sum(1 << b for b in bits))
+
+    def first(masks: list[np.uint64], apart: np.ndarray) -> np.ndarray:
+        found = np.full(len(apart), len(masks))
+        for k in reversed(range(len(masks))):
+            found[(apart & masks[k]) == 0] = k
+        return found
+
+    blocks = _blocks(list(range(64)), radius + 2)
+    width = 2 * max(map(len, blocks))
+    fixed = [a + b for a, b in combinations(blocks, 2)]
+    rests = [_blocks([b for b in range(64) if b not in bits], radius + 1) for bits in fixed]
+    room = max(len(part) for rest in rests for part in rest)
+    apart, finer = one ^ other, shard < 0
+    key = np.where(finer, -shard - 1, shard)
+    pair = np.where(finer, key >> (room + 3 + width), key >> width)
+    good = first([mask(bits) for bits in fixed], apart) == pair
+    for i in np.unique(pair[finer & good]):
+        some = np.flatnonzero(finer & good & (pair == i))
+        good[some] = first([mask(part) for part in rests[i]], apart[some]) == (key[some] >> room) & 7
+    return good
+
+
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     got = [(b.column("_shard").to_numpy(), b.column("_print").to_numpy()) for b in batches]
     if not got:

@@ -190,6 +190,32 @@ def test_searches_for_earlier_rows_miss_none_they_do_not_report():
             assert found[i] <= every and (found[i] == every or len(found[i]) >= most)
 
 
+@pytest.mark.parametrize("max_shard", [50_000, 40])
+def test_a_family_passes_on_each_pair_from_one_shard(spark, max_shard):
+    draw = random.Random(4)
+    center, n = draw.getrandbits(64), 200
+    prints = [center ^ sum({1 << draw.randrange(64) for _ in range(draw.randint(0, 4))}) for _ in range(n)]
+    rows = [(p - (p >> 63 << 64), k, k, 0, 100, True) for k, p in enumerate(prints)]
+    told = spark.createDataFrame(rows, "_print long, _key long, _id long, _check long, _size long, _open boolean")
+    dealt = simhash.shard_rows(told, 6, max_shard).repartition("_shard")
+    schema = "_x long, _y long, _ended boolean"
+    near = {(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 6}
+
+    def found(most):
+        return dealt.mapInArrow(lambda b: near_copies._search(b, 6, most, 0.8), schema).collect()
+
+    every = found(10**6)
+    assert len(every) == len(near) and {(r["_x"], r["_y"]) for r in every} == near
+    first = found(1)
+    assert len(first) < 10 * n  # a row for a hit and one for an end in each of 28 shards before
+    assert {r["_x"] for r in first if r["_ended"]} == {i for i, _ in near}
+    some = found(8)
+    assert {(r["_x"], r["_y"]) for r in some if r["_y"] is not None} <= near
+    ended = {r["_x"] for r in some if r["_ended"]}
+    whole = {(i, j) for i, j in near if i not in ended}
+    assert whole <= {(r["_x"], r["_y"]) for r in some}
+
+
 @pytest.mark.parametrize("spread", [3, 12, 64])
 def test_trees_connect_what_all_pairs_connect(spread):
     draw = random.Random(spread)
