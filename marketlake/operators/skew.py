@@ -90,19 +90,21 @@ def to_target_share(df: DataFrame, group: str, measure: str, percent: dict) -> D
 
     ``percent`` gives the shares in whole percents. A small table of group sums gives every
     group its ratio; rows keep their proportions and are cut to whole numbers, exactly.
-    Groups without a share, and groups that sum to zero, stay as they are.
+    Groups without a share, and groups that sum to zero, stay as they are. Only the groups
+    named in ``percent`` have a ratio, so the ratios are broadcast: a join by group would
+    bring all rows of a group to one task.
     """
     sums = df.groupBy(group).agg(F.sum(measure).alias("_sum"))
     total = sums.agg(F.sum("_sum")).scalar()
     share = F.coalesce(*[F.when(F.col(group) == value, F.lit(p)) for value, p in percent.items()])
-    ratios = sums.filter("_sum <> 0").select(
+    ratios = sums.filter((F.col("_sum") != 0) & share.isNotNull()).select(
         F.col(group).alias("_group"),
         (total * share).cast("decimal(19,0)").alias("_part"),
         (F.col("_sum") * 100).cast("decimal(19,0)").alias("_whole"),
     )
     scaled = F.expr(f"(CAST({measure} AS DECIMAL(19,0)) * _part) div _whole")
     return (
-        df.join(ratios, F.col(group).eqNullSafe(F.col("_group")), "left")
+        df.join(F.broadcast(ratios), F.col(group).eqNullSafe(F.col("_group")), "left")
         .withColumn(measure, F.coalesce(scaled, F.col(measure)))
         .drop("_group", "_part", "_whole")
     )
