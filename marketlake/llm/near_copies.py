@@ -8,8 +8,13 @@ Changing one word changes five shingles, so fingerprints of shingles lie far apa
 before the similarity falls to 0.8. The fingerprint that finds candidates is therefore
 taken over the different words of a text. It is searched as ``simhash`` does, in shards of
 BK-trees dealt by pairs of bit blocks; see there for why no pair in reach is lost. What is
-in reach must also have numbers of shingles that allow the similarity, and a second
-fingerprint, of other hashes, within ``CHECK_RADIUS``.
+in reach must also have numbers of shingles that allow the similarity, a second
+fingerprint, of other hashes, within ``CHECK_RADIUS``, and parities that allow it.
+
+Parities are ``PARITIES`` bits of the set of shingles: each bit tells whether an odd number
+of them hash to it. Bits that differ are never more than shingles in one set alone, so what
+this drops is not similar, whatever the hashes. Texts that share their words and most of
+their sentences are thus told apart where they meet, before a pair is passed on.
 
 Families of thousands of copies are no reason to look at all their pairs. In the first
 round every row is compared with one earlier row near it. Rows that go are out; only rows
@@ -45,27 +50,48 @@ RADIUS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
 CHECK_RADIUS = 10
+PARITIES = 256
+ODD = [f"_odd{i}" for i in range(PARITIES // 64)]
 FIRST, MORE = 1, 8  # candidates of a row in the first round, and the growth from there
 NARROW = 500_000  # rows of one number that may be broadcast
 
 
+def _digests(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    hashes = b"".join([xxhash.xxh128_digest(w, SEED) for w in words])
+    return np.frombuffer(hashes, "<u8").reshape(-1, 2)
+
+
 def word_prints(text: str | None) -> list[int]:
     """Bits set in over half of the hashes of the different words, for two hashes."""
-    words = list(set((text or "").encode().lower().split()))
+    return _majority(_digests(list(set((text or "").encode().lower().split()))))
+
+
+def _majority(hashes: np.ndarray) -> list[int]:
     ones = np.zeros(128, np.int64)
-    for at in range(0, len(words), SLICE):
-        hashes = b"".join([xxhash.xxh128_digest(w, SEED) for w in words[at : at + SLICE]])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+    for at in range(0, len(hashes), SLICE):
+        bits = np.unpackbits(hashes[at : at + SLICE].view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(words), bitorder="little").view("<u8").tolist()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").tolist()
+
 
+def features(text: str | None, size: int = SHINGLE) -> tuple[list[int], int, np.ndarray]:
+    """Prints of the words, number of different shingles, and their parities as numbers.
 
-def shingle_count(text: str | None, size: int = SHINGLE) -> int:
-    """Number of different shingles."""
+    A shingle is hashed from the hashes of its words in their order.
+    """
     words = (text or "").encode().lower().split()
-    if len(words) > SLICE:
-        return len(shingles(text, size))
-    return len(set(zip(*[words[i:] for i in range(size)], strict=False))) if len(words) >= size else min(len(words), 1)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    hashes = _digests(list(number))
+    size = min(size, len(words))
+    runs = np.zeros(len(words) - size + 1 if words else 0, np.uint64)
+    own = hashes[np.fromiter(map(number.__getitem__, words), np.int64, len(words)), 0]
+    for i in range(size):
+        runs = (runs ^ own[i : i + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    runs = np.unique(runs * np.uint64(0xBF58476D1CE4E5B9))
+    odd = np.bincount((runs >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return _majority(hashes), len(runs), np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -87,11 +113,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def _print_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("_text").to_pylist()
-        prints = np.array([word_prints(t) for t in texts], "<u8").view("<i8").reshape(-1, 2)
-        counts = [shingle_count(t, size) for t in texts]
+        got = [features(t, size) for t in batch.column("_text").to_pylist()]
+        prints = np.array([g[0] for g in got], "<u8").view("<i8").reshape(-1, 2)
+        odd = np.array([g[2] for g in got], "<i8").reshape(-1, len(ODD))
         rest = batch.drop_columns(["_text"]).append_column("_print", pa.array(prints[:, 0]))
-        yield rest.append_column("_check", pa.array(prints[:, 1])).append_column("_size", pa.array(counts, pa.int64()))
+        rest = rest.append_column("_check", pa.array(prints[:, 1]))
+        rest = rest.append_column("_size", pa.array([g[1] for g in got], pa.int64()))
+        for k, name in enumerate(ODD):
+            rest = rest.append_column(name, pa.array(np.ascontiguousarray(odd[:, k])))
+        yield rest
 
 
 # --- candidates --------------------------------------------------------------------------
@@ -109,10 +139,17 @@ def _search(
     shard, prints, key, asked = (table.column(c).to_numpy() for c in ("_shard", "_print", "_key", "_open"))
     prints = prints.view("<u8")
     check, size = table.column("_check").to_numpy().view("<u8"), table.column("_size").to_numpy()
+    odd = [table.column(c).to_numpy().view("<u8") for c in ODD if c in table.column_names]
 
     def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        return (low >= similarity * high) & (bk_tree.distance(check[i], check[j]) <= CHECK_RADIUS)
+        good = (low >= similarity * high) & (bk_tree.distance(check[i], check[j]) <= CHECK_RADIUS)
+        some = np.flatnonzero(good) if odd else np.zeros(0, np.int64)
+        one, other = i[some], j[some]
+        apart = sum((bk_tree.distance(o[one], o[other]) for o in odd), np.zeros(len(some), np.int64))
+        # shingles of one text alone are at most this share of both texts' numbers of them
+        good[some] = apart * (1 + similarity) <= (1 - similarity) * (size[one] + size[other]) + 1e-6
+        return good
 
     forest = bk_tree.Forest(shard, prints, keep=False)
     hits = np.zeros(len(key), np.int64)
@@ -139,11 +176,11 @@ def _search(
 
 def candidates(rows: DataFrame, radius: int, most: int, max_shard: int, similarity: float) -> DataFrame:
     """For each open row, at most ``most`` earlier keys near it as _ys, and whether there may
-    be more as _ended. ``rows`` has _key, _id, _print, _check, _size,
-    _open.
+    be more as _ended. ``rows`` has _key, _id, _print, _check, _size, the parities and _open.
     """
-    own = rows.select("_print", "_key", "_id", "_check", "_size", "_open")
-    dealt = shard_rows(own, radius, max_shard).repartition("_shard")
+    own = rows.select("_print", "_key", "_id", "_check", "_size", *ODD, "_open")
+    # all are asked in the first round, later few are
+    dealt = shard_rows(own, radius, max_shard, None if most == FIRST else "_open", NARROW).repartition("_shard")
     found = in_arrow(dealt, lambda b: _search(b, radius, most, similarity), "_x long, _y long, _ended boolean")
     # a row has at most a few hits from each of its shards
     each = found.groupBy("_x").agg(F.collect_set("_y").alias("_ys"), F.bool_or("_ended").alias("_ended"))
@@ -189,12 +226,12 @@ def survivors(
     rows = stored(docs.select(F.struct(*docs.columns).alias("_row"), number.alias("_key")), "rows")
     text = rows.select("_key", F.col(f"_row.{text_col}").alias("_text"))
     told = rows.select("_key", F.col(f"_row.{id_col}").alias("_id"), F.col(f"_row.{text_col}").alias("_text"))
-    numbers = [T.StructField(c, T.LongType()) for c in ("_print", "_check", "_size")]
+    numbers = [T.StructField(c, T.LongType()) for c in ("_print", "_check", "_size", *ODD)]
     schema = T.StructType([told.schema["_key"], told.schema["_id"], *numbers])
     prints = stored(in_arrow(told, lambda b: _print_batches(b, size), schema), "prints")
 
     # one row of each print is searched, the others are compared with it
-    place = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_key", "_check", "_size")
+    place = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_key", "_check", "_size", *ODD)
     first = stored(prints.groupBy("_print").agg(F.min(place).alias("_first")), "first_of_print")
     one = first.select("_print", F.col("_first._key").alias("_first"))
     alike = prints.join(one, "_print").filter("_key != _first")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlake.llm import bk_tree
-from marketlake.llm.shared import in_arrow, stored
+from marketlake.llm.shared import in_arrow, small_join, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -96,9 +96,12 @@ def _picked(prints: Column, bits: list[int]) -> Column:
     return out
 
 
-def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
+def shard_rows(
+    prints: DataFrame, radius: int, max_shard: int = MAX_SHARD, asked: str | None = None, narrow: int = 500_000
+) -> DataFrame:
     """Each row with the key of every shard that its print belongs to: _shard, _print and the
-    other columns.
+    other columns. With ``asked``, shards in which that column is never true are left out; up to
+    ``narrow`` that stay are broadcast.
     """
     own = prints.columns
     blocks = _blocks(list(range(64)), radius + 2)
@@ -108,6 +111,9 @@ def shard_rows(prints: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> Da
     fixed = [blocks[a] + blocks[b] for a, b in pairs]
     keys = [_picked(p, bits) + F.lit(i << width).cast("long") for i, bits in enumerate(fixed)]
     dealt = prints.select(F.explode(F.array(*keys)).alias("_shard"), *own)
+    if asked:
+        wanted = dealt.filter(asked).select("_shard").distinct()
+        dealt = small_join(dealt, wanted, ["_shard"], "left_semi", narrow)
     large = stored(
         dealt.groupBy("_shard").count().filter(F.col("count") > max_shard).select("_shard"), "shards"
     )

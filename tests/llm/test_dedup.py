@@ -216,6 +216,42 @@ def test_a_family_passes_on_each_pair_from_one_shard(spark, max_shard):
     assert whole <= {(r["_x"], r["_y"]) for r in some}
 
 
+def test_parities_differ_in_no_more_bits_than_shingles(odd_rows, small_rows):
+    texts = [t for _, t in families(size=8)] + [t for _, t in odd_rows + small_rows[:60]]
+    found = [near_copies.features(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    for i in range(len(texts)):
+        assert found[i][0] == near_copies.word_prints(texts[i]) and found[i][1] == len(sets[i])
+        for j in range(i):
+            assert np.bitwise_count((found[i][2] ^ found[j][2]).view("<u8")).sum() <= len(sets[i] ^ sets[j])
+
+
+def test_a_family_of_near_words_without_copies_makes_few_pairs(spark, monkeypatch):
+    """Five changed words of 150 leave prints near; no two members are similar."""
+    draw, n = random.Random(6), 300
+    base = prose(draw, 150).split()
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for at in draw.sample(range(3, 30), 5):
+            words[at * 5] = f"changed{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    prints = [near_copies.word_prints(t)[0] for t in texts]
+    near = sum((prints[i] ^ prints[j]).bit_count() <= 6 for i in range(n) for j in range(i))
+    assert near > 20 * n and not near_pairs(list(enumerate(texts)))
+    passed, search = [], near_copies.candidates
+
+    def counted(*args):
+        found = search(*args)
+        passed.append(sum(len(r["_ys"]) for r in found.collect()))
+        return found
+
+    monkeypatch.setattr(near_copies, "candidates", counted)
+    docs = spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)
+    assert near_copies.survivors(docs).count() == n
+    assert sum(passed) <= n
+
+
 @pytest.mark.parametrize("spread", [3, 12, 64])
 def test_trees_connect_what_all_pairs_connect(spread):
     draw = random.Random(spread)
