@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marketlake.llm import filter_audit, source_divergence, toxicity
@@ -228,6 +229,73 @@ def test_toxicity_of_odd_rows(spark, odd, odd_rows, none):
         assert {r["score"] for r in toxicity.classify(odd, some).collect()} == {share}
 
 
+def test_toxicity_learns_from_every_label_and_from_long_texts(spark):
+    """More labels than were once fitted: a word only of the last of them, and one only of long texts."""
+    draw = random.Random(3)
+    ids = spark.range(6_300).selectExpr("id", "crc32(cast(id as string)) % 4 = 2 held", "xxhash64(id) h").collect()
+    last = {r["id"] for r in sorted((r for r in ids if not r["held"]), key=lambda r: r["h"])[3_300:]}
+    long = prose(draw, 3_000)
+    rows, marks, expected = [], [], {}
+    for r in ids:
+        word = "snotface" if r["id"] in last or (r["held"] and r["id"] % 3 == 0) else "grumbleweed"
+        rows.append((r["id"], f"{draw.choice(['red', 'blue', 'dry'])} {word} {prose(draw, 2)}"))
+        marks.append((r["id"], 1))
+        if r["held"] and r["id"] < 600:
+            expected[r["id"]] = 1
+    for i in range(10_000, 12_000):
+        toxic = i % 10 == 0
+        rows.append((i, f"{long} miesling {long}" if toxic else prose(draw, 4)))
+        marks.append((i, int(toxic)))
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            expected[i] = int(toxic)
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA).repartition(8)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    for label in (0, 1):
+        assert np.mean([found[i] == y for i, y in expected.items() if y == label]) > 0.95
+    words = dict(rows)
+    assert np.mean([found[i] for i in expected if i < 600 and "snotface" in words[i]]) > 0.95
+
+
+def test_toxicity_by_several_trainers(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS", 150)
+    monkeypatch.setattr(toxicity, "STEPS", 100)
+    docs, labels, marks = toxic_corpus(spark)
+    first, again = ({r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()} for _ in range(2))
+    assert {i: r["score"] for i, r in first.items()} == {i: r["score"] for i, r in again.items()}
+    assert np.mean([r["predicted"] == marks[i] for i, r in first.items() if r["held_out"]]) > 0.95
+
+
+def test_changes_of_trainers_are_averaged_over_those_that_moved_a_part():
+    def moves(rows, ids):
+        return toxicity._packed(rows, np.array(ids), np.array([[i + rows] * (toxicity.DIM + 1) for i in ids], np.float32))
+
+    given = [moves(1, [0, 5]), moves(3, [5, 1023])]
+    table = toxicity._averaged(pa.table({"_block": pa.array([2, 2], pa.int32()), "_given": pa.array(given, pa.binary())}))
+    _, ids, mean = toxicity._unpacked(table.column("_given")[0].as_py())
+    assert ids.tolist() == [0, 5, 1023] and mean[:, 0].tolist() == [1, (6 + 3 * 8) / 4, 1026]
+
+
+def test_training_reads_long_texts_by_their_largest_windows(monkeypatch):
+    monkeypatch.setattr(toxicity, "RUN", 50)
+    draw = random.Random(4)
+    net = toxicity._first(np.ones((2, toxicity.BUCKETS + 1)), np.array([3, 3]), np.random.default_rng(1))
+    text = prose(draw, 1_000)
+    words = toxicity._read(text, net)
+    assert len(words) < 1_000 and {w for w in words if w} <= set(text.encode().split())
+    largest = lambda some: net.largest(net.projected(net.vectors(toxicity.parts_of(some))))
+    assert (largest([w or b"" for w in words]) >= largest(text.encode().split()) - 1e-5)[: toxicity.FILTERS].all()
+    # windows of several words lie between two gaps
+    runs, at = [], []
+    for w in [*words, None]:
+        runs, at = (runs, [*at, w]) if w else ([*runs, at], [])
+    best = np.max([largest(run) for run in runs if run], axis=0)
+    assert (best >= largest(text.encode().split()) - 1e-5).all()
+    # a count sees each part of each word
+    seen = toxicity._read(text, None)
+    parts = lambda some: set(toxicity.parts_of(list(some)).ravel())
+    assert parts(seen) == parts(text.encode().split())
+
+
 def test_texts_are_scored_alike_alone_in_runs_and_in_slices(monkeypatch):
     draw = random.Random(1)
     texts = [prose(draw, draw.randint(0, 400)) for _ in range(40)] + ["", "one", "one two"]
